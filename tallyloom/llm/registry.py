@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, simhash, substring_dedup, token_files
+from . import exact_dedup, html_text, pii, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_token_files": token_files.op4_token_files,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
