@@ -26,8 +26,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import as_binary, documents, mixed, text_bytes, written
 from .components import components, forest
@@ -219,6 +220,37 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The rows of ``docs``, all their columns: of each component the one of least doc_id.
+
+    Of rows repeated with that doc_id, or of a component without any doc_id, the
+    one of least text stays.
+    """
+    groups = written(near_groups(docs, width), "simhash-groups")
+    least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = docs.join(least.select(F.col("doc_id").alias("__of")).distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
+    if not least.groupBy("doc_id").count().filter("count > 1").head(1):
+        return kept
+    # rows share a doc_id: tell them apart by fingerprint, then by text
+    columns = docs.columns
+    prints = _with_fingerprints(docs, width).join(groups.select(F.col("fp").alias("__fp2"), F.col("component_id").alias("__component")).distinct(), F.col("__fp") == F.col("__fp2"))
+    first = Window.partitionBy("__root").orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    named = prints.withColumn("__root", F.coalesce(F.col("__component").cast("string"), F.concat(F.lit("-"), F.col("__fp").cast("string"))))
+    named = named.filter(F.col("doc_id").eqNullSafe(F.col("__component")))
+    return named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*[f"`{c}`" for c in columns])
+
+
+def _with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            fps = [majority(shingle_hashes(t, width)) for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, 3-word shingles, 3 bits."""
     found = near_groups(documents(spark, sf_dir))

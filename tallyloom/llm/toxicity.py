@@ -276,6 +276,16 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, score double")
 
 
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all their columns, with a score under the threshold."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_blocks(rows, "text", 16 << 20):
+            yield batch.filter(pa.array([model.score(t.decode("utf-8", "replace")) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""
     docs = documents(spark, sf_dir)
