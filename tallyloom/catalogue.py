@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import rows, tables
+
+QUERIES: dict = {**tables.QUERIES, **rows.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **rows.ORACLES}
