@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import t_p_value
-from ..meta import NUMERIC
-from .tabulate import _MARGIN, ALL, TOTAL, Net, _scored, axis, cells, collapsed, summarize, weight_of
+from .tabulate import ALL, TOTAL, Net, axis, cells, collapsed, fused_stats
 
 P_LEVELS = {"low": 0.10, "mid": 0.05, "high": 0.01}
 T_LEVELS = {"low": 1.65, "mid": 1.96, "high": 2.576}
@@ -57,12 +56,13 @@ def _found(tested: DataFrame, hit, keep: list[str]) -> DataFrame:
     return made.select(*keep, "y_code", F.array_join(F.col("l.lower"), ",").alias("value"))
 
 
-def proportions(survey, x: str, y: str, weight: str | None = None, where=None, level: str | float = "mid", mimic: str = "dim", test_total: bool = False, use_ebase: bool = True, overlap: bool = True, flag_bases: tuple[int, int] | None = None, nets: list[Net] | None = None, p_values: bool = False) -> DataFrame:
+def proportions(survey, x: str, y: str, weight: str | None = None, where=None, level: str | float = "mid", mimic: str = "dim", test_total: bool = False, use_ebase: bool = True, overlap: bool = True, flag_bases: tuple[int, int] | None = None, nets: list[Net] | None = None, p_values: bool = False, table: DataFrame | None = None) -> DataFrame:
     """Tests of column percents: x_code, y_code, value (the columns it is significantly higher than).
 
-    With ``p_values`` the pairs themselves: diff, se, t, dof, p.
+    With ``p_values`` the pairs themselves: diff, se, t, dof, p. ``table``: the link's
+    cells, where they're known already.
     """
-    table = cells(survey, x, y, weight, where, base_all=test_total, nets=nets)
+    table = table if table is not None else cells(survey, x, y, weight, where, base_all=test_total, nets=nets)
     base = table.filter(F.col("x_code") == ALL).select("y_code", F.col("w").alias("b"), F.col("w2").alias("b2"))
     eb = F.col("b") * F.col("b") / F.nullif(F.col("b2"), F.lit(0.0)) if use_ebase and weight not in (None, "@1") else F.col("b")
     columns = table.filter(F.col("x_code") != ALL).join(base.withColumn("eb", eb), "y_code")
@@ -109,16 +109,10 @@ def _flagged(made: DataFrame, base: DataFrame, flags: tuple[int, int] | None) ->
     return met.select(*[c for c in made.columns if c != "value"], F.when(F.col("eb") < least, "**").when(F.col("eb") < small, F.concat("value", F.lit("*"))).otherwise(F.col("value")).alias("value"))
 
 
-def means(survey, x: str, y: str, weight: str | None = None, where=None, level: str | float = "mid", mimic: str = "dim", test_total: bool = False, use_ebase: bool = True, overlap: bool = True, flag_bases: tuple[int, int] | None = None, factors: dict[int, float] | None = None, exclude=(), p_values: bool = False, sd_quirk: bool = True) -> DataFrame:
-    """Tests of means. ``sd_quirk``: askia's unpooled error from standard deviations instead of variances."""
-    stats = summarize(survey, x, y, weight, where, ["mean", "stddev"], factors, exclude)
-    met, _ = _scored(survey, x, y, weight, where, factors, exclude, False, None)
-    if weight in (None, "@1"):
-        squares = met.groupBy("y").agg(F.sum("n").cast("double").alias("b2"))
-    else:
-        squares = _squares(survey, x, y, weight, where)
-    squares = squares.select(F.when(F.col("y") == _MARGIN, TOTAL).otherwise(F.col("y").cast("string")).alias("y_of"), "b2")
-    columns = stats.join(squares, F.col("y_code") == F.col("y_of"), "left").drop("y_of", "x_var", "y_var")
+def means(survey, x: str, y: str, weight: str | None = None, where=None, level: str | float = "mid", mimic: str = "dim", test_total: bool = False, use_ebase: bool = True, overlap: bool = True, flag_bases: tuple[int, int] | None = None, factors: dict[int, float] | None = None, exclude=(), p_values: bool = False, sd_quirk: bool = True, stats: DataFrame | None = None) -> DataFrame:
+    """Tests of means. ``sd_quirk``: askia's unpooled error from standard deviations instead of variances. ``stats``: the link's rows of fused_stats, where known."""
+    stats = stats if stats is not None else fused_stats(survey, [{"x": x, "factors": factors, "exclude": exclude}], [y], [weight], where).filter(F.col("y_var") == y)
+    columns = stats.select("y_code", "y_pos", "base", "b2", "mean", "stddev")
     weighted = use_ebase and weight not in (None, "@1")
     columns = columns.withColumn("eb", F.col("base") * F.col("base") / F.nullif(F.col("b2"), F.lit(0.0)) if weighted else F.col("base"))
     pairs = _pairs(columns, test_total).filter("base1 > 0 AND base2 > 0")
@@ -144,14 +138,6 @@ def means(survey, x: str, y: str, weight: str | None = None, where=None, level:
     return _flagged(made, columns.select("y_code", "eb"), flag_bases)
 
 
-def _squares(survey, x: str, y: str, weight: str, where) -> DataFrame:
-    ya = axis(survey, y)
-    xa = None if survey.meta[x].type in NUMERIC else axis(survey, x, stats=True)
-    valid = survey.column(x).isNotNull() if xa is None else xa.valid & (F.size(xa.array) > 0)
-    rows = survey.filtered(where).filter(valid & ya.valid & (F.size(ya.array) > 0))
-    return rows.select(weight_of(survey, weight).alias("w"), F.explode(F.concat(F.array(F.lit(_MARGIN)), ya.array)).alias("y")).groupBy("y").agg(F.sum(F.col("w") * F.col("w")).alias("b2"))
-
-
 def letters(result: DataFrame, columns: list[str], upper: bool = True) -> DataFrame:
     """Codes in results as column letters A, B, ... Z, AA, ..."""
 

@@ -242,10 +242,8 @@ def row_percent(result: DataFrame) -> DataFrame:
 
 
 def raw_sum(result: DataFrame) -> DataFrame:
-    """Mentions: the sum over all codes, for each y."""
-    if "net:" in str(result.schema):
-        raise ValueError("no raw sum over nets")
-    return result.filter(F.col("x_code") != ALL).groupBy("x_var", "y_var", "y_code", "y_pos").agg(F.sum("w").alias("value"))
+    """Mentions: the sum over all codes, for each y; nets are no mentions."""
+    return result.filter((F.col("x_code") != ALL) & ~F.col("x_code").startswith("net:")).groupBy("x_var", "y_var", "y_code", "y_pos").agg(F.sum("w").alias("value"))
 
 
 def response_percent(result: DataFrame) -> DataFrame:
@@ -299,31 +297,32 @@ def calc(result: DataFrame, name: str, left: str, sign: str, right: str | float,
 STATS = ("mean", "var", "stddev", "sem", "varcoeff", "min", "max", "median", "lower_q", "upper_q")
 
 
-def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: dict[int, float] | None, exclude: Iterable[int], drop: bool, order: str | None) -> tuple[DataFrame, Axis | None]:
-    """Distinct scores by y (margins in front): score, squares of its codes' factors, w, and the first row's weight."""
+def score_of(survey, x: str, factors: dict[int, float] | None = None, exclude: Iterable[int] = (), drop: bool = False) -> tuple[Column, Column, Column, Column]:
+    """Which rows have a score, the score (the sum of their codes' factors), the sum of squared factors, and the number of codes."""
     own = survey.meta[x]
-    ya = axis(survey, y) if y else None
-    w = weight_of(survey, weight)
-    rows = survey.filtered(where)
     if own.type in NUMERIC:
         gone = list(exclude)
         value = survey.column(x).cast("double")
-        rows = rows.filter(value.isNotNull() & (~value.isin(gone) if gone else F.lit(True)))
-        score, squares, mentions = value, value * value, F.lit(1)
-    else:
-        xa = axis(survey, x, exclude, stats=True)
-        by = {**({} if drop and factors else xa.factors), **(factors or {})}
-        by = {c: f for c, f in by.items() if c in set(xa.codes)}
-        if not by:
-            raise ValueError(f"no code of {x!r} has a factor")
-        rows = rows.filter(xa.valid)
-        pairs = F.create_map(*[F.lit(v) for c, f in by.items() for v in (c, f)])
-        held = F.filter(xa.array, lambda c: c.isin(list(by)))
-        rows = rows.filter(F.size(held) > 0)
-        zero = F.lit(0.0)
-        score = F.aggregate(held, zero, lambda a, c: a + pairs[c])
-        squares = F.aggregate(held, zero, lambda a, c: a + pairs[c] * pairs[c])
-        mentions = F.size(held)
+        return value.isNotNull() & (~value.isin(gone) if gone else F.lit(True)), value, value * value, F.lit(1)
+    xa = axis(survey, x, exclude, stats=True)
+    by = {**({} if drop and factors else xa.factors), **(factors or {})}
+    by = {c: f for c, f in by.items() if c in set(xa.codes)}
+    if not by:
+        raise ValueError(f"no code of {x!r} has a factor")
+    pairs = F.create_map(*[F.lit(v) for c, f in by.items() for v in (c, float(f))])
+    held = F.filter(xa.array, lambda c: c.isin(list(by)))
+    zero = F.lit(0.0)
+    score = F.aggregate(held, zero, lambda a, c: a + pairs[c])
+    squares = F.aggregate(held, zero, lambda a, c: a + pairs[c] * pairs[c])
+    return xa.valid & (F.size(held) > 0), score, squares, F.size(held)
+
+
+def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: dict[int, float] | None, exclude: Iterable[int], drop: bool, order: str | None) -> tuple[DataFrame, Axis | None]:
+    """Distinct scores by y (margins in front): score, squares of its codes' factors, w, and the first row's weight."""
+    ya = axis(survey, y) if y else None
+    w = weight_of(survey, weight)
+    takes_part, score, squares, mentions = score_of(survey, x, factors, exclude, drop)
+    rows = survey.filtered(where).filter(takes_part)
     if ya is not None:
         rows = rows.filter(ya.valid & (F.size(ya.array) > 0))
     ys = F.concat(F.array(F.lit(_MARGIN)), ya.array) if ya is not None else F.array(F.lit(_MARGIN))
@@ -333,6 +332,16 @@ def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: d
     return met.withColumn("y", F.explode("ys")), ya
 
 
+def _from_moments() -> dict[str, Column]:
+    """Statistics from base, ws, wq and wm: sums of weights, scores, squared factors and codes."""
+    mean = F.col("ws") / F.nullif(F.col("base"), F.lit(0.0))
+    # the sum of w (f - mean)^2 over rows and codes, expanded
+    spread = F.col("wq") - 2 * mean * F.col("ws") + mean * mean * F.col("wm")
+    free = F.nullif(F.col("base") - 1, F.lit(0.0))
+    var = F.when(spread / free > 1e-12, spread / free)
+    return {"mean": mean, "var": var, "stddev": F.sqrt(var), "sem": F.sqrt(var / F.col("base")), "varcoeff": F.when(mean != 0, F.sqrt(var) / F.nullif(mean, F.lit(0.0)))}
+
+
 def summarize(survey, x: str, y: str | None = None, weight: str | None = None, where=None, stats: Iterable[str] = STATS, factors: dict[int, float] | None = None, exclude: Iterable[int] = (), drop: bool = False, source: str | None = None, order: str | None = None, plain_sd_base: bool = False) -> DataFrame:
     """A row for each y code (margin @): base and the statistics asked for.
 
@@ -354,11 +363,7 @@ def summarize(survey, x: str, y: str | None = None, weight: str | None = None, w
         F.min("s").alias("min"),
         F.max("s").alias("max"),
     )
-    mean = F.col("ws") / F.col("base")
-    # the sum of w (f - mean)^2 over rows and codes, expanded
-    spread = F.col("wq") - 2 * mean * F.col("ws") + mean * mean * F.col("wm")
-    var = F.when((F.col("base") - 1 != 0) & (spread / F.nullif(F.col("base") - 1, F.lit(0.0)) > 1e-12), spread / F.nullif(F.col("base") - 1, F.lit(0.0)))
-    sums = sums.withColumns({"mean": mean, "var": var, "stddev": F.sqrt(var), "sem": F.sqrt(var / F.col("base")), "varcoeff": F.when(mean != 0, F.sqrt(var) / mean)})
+    sums = sums.withColumns(_from_moments())
     wanted = [s for s in ("lower_q", "median", "upper_q") if s in stats]
     if wanted:
         found = percentiles(met, {"lower_q": 0.25, "median": 0.5, "upper_q": 0.75})
@@ -441,19 +446,38 @@ def level_cells(survey, grid: str, y: str | None = None, weight: str | None = No
 # -------------------------------------------------------------------- many links
 
 
-def fused(survey, xs: list[str], ys: list[str], weights: list[str | None] = (None,), where=None) -> DataFrame:
+_NET = -(1 << 30)
+
+
+def _pairs_of(made: Axis, at: int, more: Iterable[Column] = ()) -> Column:
+    """(variable, code) of the margin, the codes and the nets of a row that has an answer; else nothing."""
+    codes = F.concat(F.array(F.lit(_MARGIN)), made.array, F.array_compact(F.array(*more)) if more else F.expr("cast(array() as array<int>)"))
+    pairs = F.transform(codes, lambda c: F.struct(F.lit(at).alias("v"), c.alias("c")))
+    return F.coalesce(F.when(made.valid & (F.size(made.array) > 0), pairs), F.expr("cast(array() as array<struct<v:int,c:int>>)"))
+
+
+def _net_hit(survey, made: Axis, net: Net, i: int) -> Column:
+    hit = survey.logic(net.logic, made.name) if net.logic is not None else F.arrays_overlap(made.array, F.array(*map(F.lit, net.codes)).cast("array<int>"))
+    return F.when(hit, F.lit(_NET - i))
+
+
+def _all_pairs(axes: list[Axis]) -> Column:
+    total = F.array(F.struct(F.lit(-1).alias("v"), F.lit(_MARGIN).alias("c")))
+    return F.concat(total, *[_pairs_of(a, i) for i, a in enumerate(axes)])
+
+
+def fused(survey, xs: list[str], ys: list[str], weights: list[str | None] = (None,), where=None, nets: dict[str, list[Net]] | None = None) -> DataFrame:
     """Counts of all x by all y for several weights from one scan and one shuffle.
 
     Adds the column weight. Each row carries its codes as (variable, code) pairs;
     a cell's base rule holds as each variable brings its margin only if answered.
+    nets: of some x, counted beside its codes as ``net:<name>``.
     """
-    pair = lambda a, at: F.when(a.valid & (F.size(a.array) > 0), F.transform(F.concat(F.array(F.lit(_MARGIN)), a.array), lambda c: F.struct(F.lit(at).alias("v"), c.alias("c"))))
-    empty = F.expr("cast(array() as array<struct<v:int,c:int>>)")
+    nets = nets or {}
     xa, ya = [axis(survey, x) for x in xs], [axis(survey, y) for y in ys]
-    total = F.array(F.struct(F.lit(-1).alias("v"), F.lit(_MARGIN).alias("c")))
     picked = survey.filtered(where).select(
-        F.flatten(F.array(*[F.coalesce(pair(a, i), empty) for i, a in enumerate(xa)])).alias("x"),
-        F.concat(total, F.flatten(F.array(*[F.coalesce(pair(a, i), empty) for i, a in enumerate(ya)]))).alias("y") if ya else total.alias("y"),
+        F.concat(*[_pairs_of(a, i, [_net_hit(survey, a, n, k) for k, n in enumerate(nets.get(a.name, ()))]) for i, a in enumerate(xa)]).alias("x"),
+        _all_pairs(ya).alias("y"),
         *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)],
     )
     n = range(len(weights))
@@ -466,12 +490,55 @@ def fused(survey, xs: list[str], ys: list[str], weights: list[str | None] = (Non
     frame_rows = []
     for i, a in enumerate(xa):
         own_x = [(i, _MARGIN, a.name, ALL, 0), *((i, c, a.name, str(c), p + 1) for p, c in enumerate(a.codes))]
-        own_y = [(-1, _MARGIN, TOTAL, TOTAL, 0)] + [r for j, b in enumerate(ya) for r in [(j, _MARGIN, b.name, TOTAL, 0), *((j, c, b.name, str(c), p + 1) for p, c in enumerate(b.codes))]]
-        frame_rows += [(*p, *q, w or "") for p in own_x for q in own_y for w in weights]
+        own_x += [(i, _NET - k, a.name, f"net:{net.name}", len(a.codes) + k + 1) for k, net in enumerate(nets.get(a.name, ()))]
+        frame_rows += [(*p, *q, w or "") for p in own_x for q in _y_frame(ya) for w in weights]
     all_cells = survey.spark.createDataFrame(frame_rows, "xv int, xc int, x_var string, x_code string, x_pos int, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
     return filled(all_cells, flat, ("xv", "xc", "yv", "yc", "weight")).drop("xv", "xc", "yv", "yc")
 
 
+def _y_frame(ya: list[Axis]) -> list[tuple]:
+    made = [(-1, _MARGIN, TOTAL, TOTAL, 0)]
+    for j, b in enumerate(ya):
+        made += [(j, _MARGIN, b.name, TOTAL, 0), *((j, c, b.name, str(c), p + 1) for p, c in enumerate(b.codes))]
+    return made
+
+
+MOMENT_STATS = ("mean", "var", "stddev", "sem", "varcoeff", "min", "max")
+
+
+def fused_stats(survey, specs: list[dict], ys: list[str], weights: list[str | None] = (None,), where=None) -> DataFrame:
+    """Statistics of many x by all y for several weights from one scan and one shuffle.
+
+    A spec has x and, as wanted, factors, exclude, drop, source (the variable whose
+    scores count, on the rows where x has an answer). Result: spec (its number),
+    x_var, y_var, y_code, y_pos, weight, base, b2 (squared weights) and MOMENT_STATS.
+    """
+    ya = [axis(survey, y) for y in ys]
+    scores = []
+    for i, spec in enumerate(specs):
+        takes_part, score, squares, mentions = score_of(survey, spec.get("source") or spec["x"], spec.get("factors"), spec.get("exclude", ()), spec.get("drop", False))
+        if spec.get("source"):
+            takes_part = takes_part & _answered(survey, spec["x"])
+        scores.append(F.when(takes_part, F.struct(F.lit(i).alias("spec"), score.cast("double").alias("s"), squares.cast("double").alias("q"), mentions.cast("int").alias("m"))))
+    n = range(len(weights))
+    picked = survey.filtered(where).select(F.array_compact(F.array(*scores)).alias("x"), _all_pairs(ya).alias("y"), *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
+    names = [f"w{i}" for i in n]
+    met = picked.select(F.explode("x").alias("x"), "y", *names).select("x", F.explode("y").alias("y"), *names)
+    asked = []
+    for i in n:
+        w = F.col(f"w{i}")
+        parts = {"base": F.sum(w), "b2": F.sum(w * w), "ws": F.sum(w * F.col("x.s")), "wq": F.sum(w * F.col("x.q")), "wm": F.sum(w * F.col("x.m")), "min": F.min(F.when(w.isNotNull(), F.col("x.s"))), "max": F.max(F.when(w.isNotNull(), F.col("x.s")))}
+        asked += [c.alias(f"{k}_{i}") for k, c in parts.items()]
+    sums = met.groupBy(F.col("x.spec").alias("spec"), F.col("y.v").alias("yv"), F.col("y.c").alias("yc")).agg(*asked)
+    keys = ("base", "b2", "ws", "wq", "wm", "min", "max")
+    rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), *[F.col(f"{k}_{i}").alias(k) for k in keys]) for i, w in enumerate(weights)])
+    flat = sums.select("spec", "yv", "yc", F.explode(rows).alias("r")).select("spec", "yv", "yc", "r.*").withColumns(_from_moments())
+    frame_rows = [(i, spec["x"], *q, w or "") for i, spec in enumerate(specs) for q in _y_frame(ya) for w in weights]
+    all_cells = survey.spark.createDataFrame(frame_rows, "spec int, x_var string, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
+    met = all_cells.join(flat, ["spec", "yv", "yc", "weight"], "left")
+    return met.select("spec", "x_var", "y_var", "y_code", "y_pos", "weight", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("b2", F.lit(0.0)).alias("b2"), *MOMENT_STATS)
+
+
 def labelled(survey, result: DataFrame, text_key: str | None = None) -> DataFrame:
     """Adds x_text and y_text."""
     rows = []
