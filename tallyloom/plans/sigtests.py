@@ -138,16 +138,17 @@ def means(survey, x: str, y: str, weight: str | None = None, where=None, level:
     return _flagged(made, columns.select("y_code", "eb"), flag_bases)
 
 
-def letters(result: DataFrame, columns: list[str], upper: bool = True) -> DataFrame:
-    """Codes in results as column letters A, B, ... Z, AA, ..."""
+def letter(i: int, upper: bool = True) -> str:
+    """0, 1, ... as A, B, ... Z, AA, ..."""
+    made = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        made = chr(65 + r) + made
+    return made if upper else made.lower()
 
-    def letter(i: int) -> str:
-        made = ""
-        i += 1
-        while i:
-            i, r = divmod(i - 1, 26)
-            made = chr(65 + r) + made
-        return made if upper else made.lower()
 
-    pairs = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (c, letter(i))])
+def letters(result: DataFrame, columns: list[str], upper: bool = True) -> DataFrame:
+    """Codes in results as column letters A, B, ... Z, AA, ..."""
+    pairs = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (c, letter(i, upper))])
     return result.withColumn("value", F.array_join(F.transform(F.split("value", ","), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "."))

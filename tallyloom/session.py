@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Names may differ in case alone or hold dots; adaptive execution deals with skew and small partitions.
 SETTINGS = {
@@ -17,3 +20,19 @@ SETTINGS = {
 
 def session(app: str = "tallyloom", **more: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | more).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder all executors see; a temporary one only where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read back."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
