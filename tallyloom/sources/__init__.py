@@ -1,0 +1 @@
+"""Where surveys come from and go to."""
