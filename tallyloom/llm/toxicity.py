@@ -43,6 +43,8 @@ LEAST_TEXTS = 4
 #: Mined voters of the label model.
 VOTERS = 48
 THRESHOLD = 0.3
+#: Right labels for a wrong one, as the label model takes them.
+LABEL_ODDS = 999.0
 
 SEEDS = {
     "en": "idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb imbecile retard bastard bitch asshole jerk filth vermin hate kill die ugly fool",
@@ -169,12 +171,12 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     """Posterior of label 1 for each row; each voter's rates of voting given label 0 and 1; and their correlations.
 
     votes: rows by voters, 1 where a voter calls the text toxic. labels: 0, 1 or -1
-    (unknown); a known label is one more voter, right in 99 of 100 cases.
+    (unknown); a known label is one more voter, right in all but one of LABEL_ODDS cases.
     """
     n, m = votes.shape
     v = votes.astype(np.float64)
     known = labels >= 0
-    seen = np.where(known, np.where(labels == 1, math.log(99.0), -math.log(99.0)), 0.0)
+    seen = np.where(known, np.where(labels == 1, math.log(LABEL_ODDS), -math.log(LABEL_ODDS)), 0.0)
     prior = 0.1
     p = np.where(known, np.where(labels == 1, 0.99, 0.01), np.clip(0.05 + 0.9 * (v.sum(axis=1) > 0), 0.05, 0.9))
     weight = np.ones(m)
@@ -200,7 +202,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     return p, rates, corr
 
 
-def linear(rows: list[list[int]], width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def linear(rows: list[list[int]], width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on presence features and soft targets."""
     lengths = np.array([len(r) for r in rows])
     at = np.concatenate([np.array(r, np.int64) for r in rows if r] or [np.zeros(0, np.int64)])
