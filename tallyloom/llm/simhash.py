@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -157,6 +157,9 @@ def _compared(rows: Iterator[pa.RecordBatch], finer: bool) -> Iterator[pa.Record
         else:
             held_k, held_f = keys[end:], fps[end:]
         keys, fps = keys[:end], fps[:end]
+        if crowded is not None and (late := keys == crowded).any():  # the rest of a crowd that began in another batch
+            yield table(keys[late], fps[late], True)
+            keys, fps = keys[~late], fps[~late]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         group = np.repeat(sizes, sizes)
@@ -168,7 +171,7 @@ def _compared(rows: Iterator[pa.RecordBatch], finer: bool) -> Iterator[pa.Record
                 yield table(fps[i], fps[i + step], False)
         for n in np.flatnonzero(sizes > 16):
             own = fps[starts[n] : starts[n] + sizes[n]]
-            if finer and (len(own) > CROWD or (crowded is not None and keys[starts[n]] == crowded)):
+            if finer and len(own) > CROWD:
                 yield table(keys[starts[n] : starts[n] + sizes[n]], own, True)
             else:
                 yield table(*close_pairs(own), False)
@@ -208,16 +211,21 @@ def links(fps: DataFrame) -> DataFrame:
     return first.filter("not crowd").select("u", "v").unionByName(again.mapInArrow(lambda rows: _compared(rows, False), flagged).select("u", "v"))
 
 
-def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs``."""
+def _rooted(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that stands for the component), component_id for each row of ``docs``."""
     rows = written(fingerprints(docs, width), "simhash-fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id")
-    return rows.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    by_fp = named.join(ids.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "root", "component_id")
+    return rows.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp, component_id for each row of ``docs``."""
+    return _rooted(docs, width).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -226,18 +234,19 @@ def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     Of rows repeated with that doc_id, or of a component without any doc_id, the
     one of least text stays.
     """
-    groups = written(near_groups(docs, width), "simhash-groups")
-    least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(least.select(F.col("doc_id").alias("__of")).distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
-    if not least.groupBy("doc_id").count().filter("count > 1").head(1):
-        return kept
+    groups = written(_rooted(docs, width), "simhash-groups")
+    is_least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    by_id = written(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(is_least).alias("stays")).filter("stays"), "simhash-least")
+    if not by_id.filter("rows > 1 OR doc_id IS NULL").head(1):
+        least = by_id.select(F.col("doc_id").alias("__of")).hint("shuffle_hash")
+        return docs.join(least, F.col("doc_id") == F.col("__of"), "left_semi")
     # rows share a doc_id: tell them apart by fingerprint, then by text
-    columns = docs.columns
-    prints = _with_fingerprints(docs, width).join(groups.select(F.col("fp").alias("__fp2"), F.col("component_id").alias("__component")).distinct(), F.col("__fp") == F.col("__fp2"))
-    first = Window.partitionBy("__root").orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    named = prints.withColumn("__root", F.coalesce(F.col("__component").cast("string"), F.concat(F.lit("-"), F.col("__fp").cast("string"))))
-    named = named.filter(F.col("doc_id").eqNullSafe(F.col("__component")))
-    return named.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*[f"`{c}`" for c in columns])
+    own = groups.select(F.col("fp").alias("__fp2"), F.col("root").alias("__root"), F.col("component_id").alias("__component")).distinct()
+    met = _with_fingerprints(docs, width).join(own, F.col("__fp") == F.col("__fp2")).filter(F.col("doc_id").eqNullSafe(F.col("__component")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # combined before the shuffle, so however many rows a component has, a task sends one
+    first = met.groupBy("__root").agg(F.min_by(whole, F.struct(F.col("text").isNotNull().alias("a"), F.col("text").alias("b"))).alias("__row"))
+    return first.select("__row.*")
 
 
 def _with_fingerprints(docs: DataFrame, width: int) -> DataFrame:

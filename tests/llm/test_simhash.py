@@ -137,5 +137,7 @@ def test_representatives(odd, make, words):
     assert got.columns == docs.columns
     groups = {r.component_id if r.component_id is not None else f"null {r.fp}" for r in simhash.near_groups(docs).collect()}
     assert got.count() == len(groups)
+    shared = make([(5, words(50, 1)), (5, words(50, 2)), (3, words(50, 2)), (None, words(50, 3)), (None, words(50, 3)), (None, None)])
+    assert sorted((str(r.doc_id), r.text or "") for r in simhash.representatives(shared).collect()) == sorted([("5", words(50, 1)), ("3", words(50, 2)), ("None", words(50, 3)), ("None", "")])
     plain = make([(1, words(50, 1)), (2, words(50, 1)), (3, words(50, 2))])
     assert sorted(r.doc_id for r in simhash.representatives(plain).collect()) == [1, 3]
