@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import rows, tables
+from .queries import reports, rows, tables
 
-QUERIES: dict = {**tables.QUERIES, **rows.QUERIES}
-ORACLES: dict = {**tables.ORACLES, **rows.ORACLES}
+QUERIES: dict = {**tables.QUERIES, **rows.QUERIES, **reports.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **rows.ORACLES, **reports.ORACLES}

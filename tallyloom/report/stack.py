@@ -435,27 +435,31 @@ class Stack:
             table = self._counts(survey, plain, where) if plain else None
             numbers = {at: w for at, w in usable.items() if survey.meta[at[0]].type != SET}
             stats = stored(tabulate.fused_stats(survey, [{"x": x} for x in dict.fromkeys(x for x, _ in numbers)], list(dict.fromkeys(y for _, y in numbers)), list(dict.fromkeys(w for own in numbers.values() for w in own)), where), "stats") if numbers else None
+            heads = {y for _, y in usable if tabulate.axis(survey, y).is_set}
+            parts = [sigtests._shared(survey, x, y, w, where, True) for (x, y), own in usable.items() if y in heads and survey.meta[x].values for w in own]
+            shared = stored(reduce(DataFrame.unionByName, parts), "overlaps") if parts and any(mode == "dim" for _, mode, _, _ in specs) else None
             for lv, mode, total, bases in dict.fromkeys(specs):
                 said = f"{'Dim' if mode == 'dim' else mode}.{f'{lv:.2f}'.split('.')[1] if isinstance(lv, float) else lv}{'+@' if total else ''}"
-                for (x, y), own in usable.items():
-                    for w in own:
-                        same = (F.col("x_var") == x) & (F.col("y_var") == y) & (F.col("weight") == (w or ""))
-                        if (x, y) in plain:
-                            cells = None if total else table.filter(same)
-                            got = sigtests.proportions(survey, x, y, w, where, lv, mode, total, flag_bases=bases, table=cells)
-                            made.append(self._tested(survey, got, key, name, x, y, w, f"x|t.props.{said}|:||{w or ''}|significance"))
-                        if (x, y) in numbers:
-                            got = sigtests.means(survey, x, y, w, where, lv, mode, total, flag_bases=bases, stats=stats.filter(same)).withColumn("x_code", F.lit("mean"))
-                            made.append(self._tested(survey, got, key, name, x, y, w, f"x|t.means.{said}|x:||{w or ''}|significance"))
+                if table is not None:
+                    cells = table
+                    if total:  # against the total, whose base doesn't ask for an answer to the head
+                        cells = reduce(DataFrame.unionByName, [sigtests._keyed(tabulate.cells(survey, x, y, w, where, base_all=True), x, y, w) for (x, y), own in plain.items() for w in own])
+                    got = sigtests.proportions_of(cells, lv, mode, total, True, shared, bases)
+                    made.append(self._tested(survey, got, key, name, usable, f"x|t.props.{said}|:||"))
+                if stats is not None:
+                    asked = F.broadcast(self._pairs_frame(survey, numbers).drop("asked"))
+                    got = sigtests.means_of(stats.join(asked, list(sigtests.LINK)), lv, mode, total, True, shared, bases).withColumnRenamed("stat", "x_code")
+                    made.append(self._tested(survey, got, key, name, usable, f"x|t.means.{said}|x:||"))
         self._add(made)
 
-    def _tested(self, survey: Survey, got: DataFrame, key: str, name: str, x: str, y: str, w: str | None, view: str) -> DataFrame:
-        xs = {str(c): i for i, c in enumerate(survey.meta.codes(x), 1)} if survey.meta[x].values else {}
-        ys = {str(c): i for i, c in enumerate(tabulate.axis(survey, y).codes, 1)}
-        place = lambda by, column: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for c, p in by.items() for v in (c, p)]), F.col(column)), F.lit(1)) if by else F.lit(1)
-        rows = got.select("x_code", "y_code", F.col("value").alias("text")).withColumns({"x_pos": place(xs, "x_code"), "y_pos": place(ys, "y_code")})
-        fixed = {"dataset": key, "filter": name, "x_var": x, "y_var": y, "weight": w or "", "view": view}
-        return rows.withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumn("value", F.lit(None).cast("double"))
+    def _tested(self, survey: Survey, got: DataFrame, key: str, name: str, links: dict, view: str) -> DataFrame:
+        places = [(v, str(c), i) for v in dict.fromkeys(n for at in links for n in at) if v != TOTAL and (">" in v or survey.meta[v].values) for i, c in enumerate(tabulate.axis(survey, v).codes, 1)]
+        frame = survey.spark.createDataFrame(places, "var string, code string, pos int")
+        for a in "xy":  # as many rows as codes
+            own = frame.select(F.col("var").alias(f"{a}_var"), F.col("code").alias(f"{a}_code"), F.col("pos").alias(f"{a}_pos"))
+            got = got.join(F.broadcast(own), [f"{a}_var", f"{a}_code"], "left").withColumn(f"{a}_pos", F.coalesce(f"{a}_pos", F.lit(1)))
+        got = got.withColumnRenamed("value", "text").withColumns({"dataset": F.lit(key), "filter": F.lit(name), "view": F.concat(F.lit(view), "weight", F.lit("|significance"))})
+        return got.withColumn("value", F.lit(None).cast("double"))
 
     def refresh(self, key: str, new: Survey | None = None, new_key: str | None = None, new_weight: str | None = None) -> None:
         """The same preset views again, on other data, under another key, or with one more weight."""
