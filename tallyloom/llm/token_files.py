@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, written
@@ -270,12 +270,11 @@ def read_tokens(manifest: DataFrame, where: str) -> DataFrame:
                         )
                         row = end
 
-    from pyspark.sql import Window
-
     # a row for each file; the running sum over them is one small task
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", "part", before.alias("start"))
-    return placed.repartition("path").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    # a task for each file: rows this small would else be gathered in one
+    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def digests(manifest: DataFrame, where: str) -> DataFrame:
