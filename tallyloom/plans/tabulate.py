@@ -14,7 +14,8 @@ y_pos, n (rows), w (weighted), w2 (squared weights). Codes are text; margins are
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from ..functions.logic import Logic, logic_key
 from ..meta import CATEGORICAL, NUMERIC, SET, MetaError, Variable
+from ..session import local_frame
 
 ALL, TOTAL = "All", "@"
 _MARGIN = -(1 << 31)
+#: Cells up to which a result is broadcast to be joined with its frame: some tens of bytes each.
+MOST_CELLS = 200_000
 CELL = "x_var string, x_code string, x_pos int, y_var string, y_code string, y_pos int"
 
 
@@ -39,13 +43,28 @@ class Axis:
     name: str
     codes: list[int]
     texts: dict[int, str]
-    array: Column
+    #: the raw columns that decide the codes; rows collapse by these, which are mostly whole numbers
+    keys: list[Column]
+    #: the array of valid codes, made from the raw columns or from copies of them
+    build: Callable[[list[Column]], Column]
+    #: rows that no excluded code takes out
     valid: Column
+    #: rows with a valid code
+    answered: Column
     is_set: bool = False
     factors: dict[int, float] = field(default_factory=dict)
     #: codes of the levels of a nest, by code
     levels: dict[int, tuple[int, ...]] = field(default_factory=dict)
 
+    @property
+    def array(self) -> Column:
+        return self.build(self.keys)
+
+    @property
+    def combinations(self) -> float:
+        """Different answers that there can be."""
+        return 2.0 ** min(len(self.codes), 60) if self.is_set else len(self.codes) + 1.0
+
 
 def _as_array(column: Column, kind: str, codes: Iterable[int]) -> Column:
     codes = list(codes)
@@ -66,13 +85,20 @@ def axis(survey, name: str, exclude: Iterable[int] = (), stats: bool = False) ->
     gone = {c for c, f in own.missings.items() if f == "exclude" or stats} | set(exclude)
     column = survey.column(name)
     kept = [v for v in own.values if v.code not in gone]
-    array = _as_array(column, own.type, [v.code for v in kept])
+    codes = [v.code for v in kept]
     valid = F.lit(True)
     if gone:  # a respondent who gives an excluded code leaves the table with all of their codes
         hit = F.arrays_overlap(column, F.array(*map(F.lit, gone)).cast("array<int>")) if own.type == SET else column.isin(list(gone))
         valid = ~F.coalesce(hit, F.lit(False))
+        column = F.when(valid, column)
+
+    def build(keys: list[Column]) -> Column:
+        return _as_array(keys[0], own.type, codes)
+
+    answered = F.coalesce(F.exists(column, lambda c: c.isin(codes)) if own.type == SET else column.isin(codes), F.lit(False))
     key = survey.meta.text_key
-    return Axis(name, [v.code for v in kept], {v.code: v.text.get(key) or next(iter(v.text.values()), "") for v in kept}, array, valid, own.type == SET, {v.code: float(v.code if v.factor is None else v.factor) for v in kept})
+    texts = {v.code: v.text.get(key) or next(iter(v.text.values()), "") for v in kept}
+    return Axis(name, codes, texts, [column], build, valid, answered, own.type == SET, {v.code: float(v.code if v.factor is None else v.factor) for v in kept})
 
 
 def _product(left: Column, left_codes: list[int], right: Column, right_codes: list[int]) -> Column:
@@ -89,11 +115,15 @@ def _nest(survey, parts: list[Axis], name: str) -> Axis:
     texts = made.texts
     for part in parts[1:]:
         n = len(part.codes)
-        array = _product(made.array, made.codes, part.array, part.codes)
         numbered = {i * n + j + 1: (a, b) for i, a in enumerate(made.codes) for j, b in enumerate(part.codes)}
         levels = {c: (*levels[a], b) for c, (a, b) in numbered.items()}
         texts = {c: f"{texts[a]} / {part.texts[b]}" for c, (a, b) in numbered.items()}
-        made = Axis(name, list(numbered), texts, array, made.valid & part.valid, made.is_set or part.is_set)
+
+        def build(keys: list[Column], one: Axis = made, two: Axis = part) -> Column:
+            k = len(one.keys)
+            return _product(one.build(keys[:k]), one.codes, two.build(keys[k:]), two.codes)
+
+        made = Axis(name, list(numbered), texts, [*made.keys, *part.keys], build, made.valid & part.valid, made.answered & part.answered, made.is_set or part.is_set)
     return replace(made, levels=levels, factors={c: float(c) for c in made.codes})
 
 
@@ -139,20 +169,22 @@ def _codes_of(made: Axis) -> list[tuple[str, int]]:
 
 def frame(survey, x: list[tuple[str, str, int]], y: list[tuple[str, str, int]]) -> DataFrame:
     """The cells of the product, which are few and made on the driver."""
-    return survey.spark.createDataFrame([(*a, *b) for a in x for b in y], CELL)
+    return local_frame(survey.spark, [(*a, *b) for a in x for b in y], CELL)
 
 
 def collapsed(survey, xa: Axis, ya: Axis | None, weight: str | None, where=None, base_all: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
     """Distinct answers with rows, weights and squared weights: xs, ys (margins in front), n, w, w2."""
-    margin = F.array(F.lit(_MARGIN))
-    columns = {"__x": xa.array, "__y": ya.array if ya else F.expr("cast(array() as array<int>)"), "__w": weight_of(survey, weight), **(more or {})}
-    rows = survey.filtered(where).filter(xa.valid if ya is None else xa.valid & ya.valid)
-    rows = rows.select(*[c.alias(n) for n, c in columns.items()]).filter(F.size("__x") > 0)
+    axes = {"__x": xa} | ({"__y": ya} if ya is not None else {})
+    keys = {f"{n}{i}": k for n, a in axes.items() for i, k in enumerate(a.keys)} | (more or {})
+    rows = survey.filtered(where).filter(xa.valid & xa.answered if ya is None else xa.valid & ya.valid & xa.answered)
     if ya is not None and not base_all:
-        rows = rows.filter(F.size("__y") > 0)
-    keys = ["__x", "__y", *(more or {})]
+        rows = rows.filter(ya.answered)
+    rows = rows.select(*[c.alias(n) for n, c in keys.items()], weight_of(survey, weight).alias("__w"))
     met = rows.filter("__w IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w"), F.sum(F.col("__w") * F.col("__w")).alias("w2"))
-    return met.withColumns({"__xs": F.concat(margin, "__x"), "__ys": F.concat(margin, "__y")})
+    arrays = {n: a.build([F.col(f"{n}{i}") for i in range(len(a.keys))]) for n, a in axes.items()}
+    arrays.setdefault("__y", F.expr("cast(array() as array<int>)"))
+    margin = F.array(F.lit(_MARGIN))
+    return met.withColumns(arrays).withColumns({"__xs": F.concat(margin, "__x"), "__ys": F.concat(margin, "__y")})
 
 
 def cells(survey, x: str, y: str | None = None, weight: str | None = None, where=None, base_all: bool = False, nets: list[Net] | None = None, complete: bool = False, exclude: Iterable[int] = (), limit: Iterable[int] | None = None, keep=None) -> DataFrame:
@@ -189,7 +221,10 @@ def cells(survey, x: str, y: str | None = None, weight: str | None = None, where
     return filled(all_cells, sums)
 
 
-def filled(all_cells: DataFrame, sums: DataFrame, on: Iterable[str] = ("x_code", "y_code")) -> DataFrame:
+def filled(all_cells: DataFrame, sums: DataFrame, on: Iterable[str] = ("x_code", "y_code"), few: bool = True) -> DataFrame:
+    """All cells with their sums, zero where there are none. ``few``: at most MOST_CELLS of them."""
+    # sums have a row for each cell of the metadata's codes at most, and those were counted on the driver
+    sums = F.broadcast(sums) if few else sums
     zero = {c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in (("n", "long"), ("w", "double"), ("w2", "double"))}
     return all_cells.join(sums, list(on), "left").select(*all_cells.columns, *[c.alias(n) for n, c in zero.items()])
 
@@ -324,7 +359,7 @@ def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: d
     takes_part, score, squares, mentions = score_of(survey, x, factors, exclude, drop)
     rows = survey.filtered(where).filter(takes_part)
     if ya is not None:
-        rows = rows.filter(ya.valid & (F.size(ya.array) > 0))
+        rows = rows.filter(ya.valid & ya.answered)
     ys = F.concat(F.array(F.lit(_MARGIN)), ya.array) if ya is not None else F.array(F.lit(_MARGIN))
     picked = rows.select(score.alias("s"), squares.alias("q"), mentions.alias("m"), w.alias("w"), ys.alias("ys"), (survey.column(order) if order else F.lit(0)).alias("o")).filter("w IS NOT NULL")
     # equal answers collapse before the explode; the least in order stands for the first of them
@@ -369,7 +404,7 @@ def summarize(survey, x: str, y: str | None = None, weight: str | None = None, w
         found = percentiles(met, {"lower_q": 0.25, "median": 0.5, "upper_q": 0.75})
         sums = sums.join(found, "y", "left")
     codes = [(TOTAL, _MARGIN, 0), *((c, int(c), i) for c, i in (_codes_of(ya) if ya else ()))]
-    all_y = survey.spark.createDataFrame(codes, "y_code string, y int, y_pos int")
+    all_y = local_frame(survey.spark, codes, "y_code string, y int, y_pos int")
     return all_y.join(sums, "y", "left").select(F.lit(x).alias("x_var"), F.lit(y or TOTAL).alias("y_var"), "y_code", "y_pos", F.coalesce("base", F.lit(0.0)).alias("base"), *stats)
 
 
@@ -378,7 +413,7 @@ def _answered(survey, x: str) -> Column:
     if own.type in NUMERIC:
         return survey.column(x).isNotNull()
     made = axis(survey, x)
-    return made.valid & (F.size(made.array) > 0)
+    return made.valid & made.answered
 
 
 def percentiles(met: DataFrame, wanted: dict[str, float]) -> DataFrame:
@@ -432,7 +467,7 @@ def level_cells(survey, grid: str, y: str | None = None, weight: str | None = No
     ys = F.concat(F.array(F.lit(_MARGIN)), ya.array) if ya is not None else F.array(F.lit(_MARGIN))
     rows = survey.filtered(where)
     if ya is not None:
-        rows = rows.filter(ya.valid & (F.size(ya.array) > 0))
+        rows = rows.filter(ya.valid & ya.answered)
     rows = rows.select(weight_of(survey, weight).alias("w"), mentions.alias("x"), ys.alias("ys")).filter("w IS NOT NULL")
     met = rows.groupBy("x", "ys").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
     met = met.select("n", "w", "w2", "ys", F.explode("x").alias("c")).select("n", "w", "w2", "c", F.explode("ys").alias("y"))
@@ -449,51 +484,63 @@ def level_cells(survey, grid: str, y: str | None = None, weight: str | None = No
 _NET = -(1 << 30)
 
 
-def _pairs_of(made: Axis, at: int, more: Iterable[Column] = ()) -> Column:
-    """(variable, code) of the margin, the codes and the nets of a row that has an answer; else nothing."""
-    codes = F.concat(F.array(F.lit(_MARGIN)), made.array, F.array_compact(F.array(*more)) if more else F.expr("cast(array() as array<int>)"))
-    pairs = F.transform(codes, lambda c: F.struct(F.lit(at).alias("v"), c.alias("c")))
-    return F.coalesce(F.when(made.valid & (F.size(made.array) > 0), pairs), F.expr("cast(array() as array<struct<v:int,c:int>>)"))
+#: Different answers up to which rows collapse before they are exploded; beyond, they would hardly get fewer.
+MOST_ANSWERS = 200_000
 
 
-def _net_hit(survey, made: Axis, net: Net, i: int) -> Column:
-    hit = survey.logic(net.logic, made.name) if net.logic is not None else F.arrays_overlap(made.array, F.array(*map(F.lit, net.codes)).cast("array<int>"))
-    return F.when(hit, F.lit(_NET - i))
+def _pairs(array: Column, at: int, nets: Iterable[Column] = ()) -> Column:
+    """(variable, code) of the margin, the codes and the nets of a row that has an answer; else nothing."""
+    codes = F.concat(F.array(F.lit(_MARGIN)), array, *([F.array_compact(F.array(*nets))] if nets else []))
+    pairs = F.transform(codes, lambda c: F.struct(F.lit(at).alias("v"), c.alias("c")))
+    return F.when(F.size(array) > 0, pairs).otherwise(F.expr("cast(array() as array<struct<v:int,c:int>>)"))
 
 
-def _all_pairs(axes: list[Axis]) -> Column:
+def _all_pairs(arrays: list[Column]) -> Column:
     total = F.array(F.struct(F.lit(-1).alias("v"), F.lit(_MARGIN).alias("c")))
-    return F.concat(total, *[_pairs_of(a, i) for i, a in enumerate(axes)])
+    return F.concat(total, *[_pairs(a, i) for i, a in enumerate(arrays)])
 
 
 def fused(survey, xs: list[str], ys: list[str], weights: list[str | None] = (None,), where=None, nets: dict[str, list[Net]] | None = None) -> DataFrame:
-    """Counts of all x by all y for several weights from one scan and one shuffle.
+    """Counts of all x by all y for several weights from one scan.
 
-    Adds the column weight. Each row carries its codes as (variable, code) pairs;
-    a cell's base rule holds as each variable brings its margin only if answered.
-    nets: of some x, counted beside its codes as ``net:<name>``.
+    Adds the column weight. Rows collapse by their raw answers if there can be few
+    different ones, and are exploded to (variable, code) pairs of x and of y; a
+    variable brings its margin only if answered, which is a cell's base rule. nets:
+    of some x, counted beside its codes as ``net:<name>``.
     """
     nets = nets or {}
     xa, ya = [axis(survey, x) for x in xs], [axis(survey, y) for y in ys]
-    picked = survey.filtered(where).select(
-        F.concat(*[_pairs_of(a, i, [_net_hit(survey, a, n, k) for k, n in enumerate(nets.get(a.name, ()))]) for i, a in enumerate(xa)]).alias("x"),
-        _all_pairs(ya).alias("y"),
-        *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)],
-    )
+    keys: dict[str, Column] = {}
+    named: dict[str, list[str]] = {}  # axis -> its key columns; an axis on both sides has them once
+    for i, a in enumerate({a.name: a for a in [*xa, *ya]}.values()):
+        named[a.name] = [f"__k{i}_{j}" for j in range(len(a.keys))]
+        keys |= dict(zip(named[a.name], a.keys, strict=True))
+    for i, a in enumerate(xa):
+        keys |= {f"__net{i}_{k}": survey.logic(n.logic, a.name) for k, n in enumerate(nets.get(a.name, ())) if n.logic is not None}
     n = range(len(weights))
-    ask = lambda: [f(F.col(f"w{i}")).alias(f"{k}{i}") for i in n for k, f in (("n", F.count), ("s", F.sum), ("q", lambda c: F.sum(c * c)))]
-    met = picked.groupBy("x", "y").agg(*ask())
-    met = met.select(F.explode("x").alias("x"), "y", *[f"{k}{i}" for i in n for k in "nsq"]).select("x", F.explode("y").alias("y"), *[f"{k}{i}" for i in n for k in "nsq"])
-    sums = met.groupBy("x", "y").agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for i in n for k in "nsq"])
-    rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("w"), F.col(f"q{i}").alias("w2")) for i, w in enumerate(weights)])
-    flat = sums.select("x", "y", F.explode(rows).alias("r")).select(F.col("x.v").alias("xv"), F.col("x.c").alias("xc"), F.col("y.v").alias("yv"), F.col("y.c").alias("yc"), "r.*")
+    picked = survey.filtered(where).select(*[c.alias(k) for k, c in keys.items()], *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
+    sums = {f"{k}{i}": f(F.col(f"w{i}")) for i in n for k, f in (("n", lambda c: F.when(c.isNotNull(), F.lit(1))), ("s", lambda c: c), ("q", lambda c: c * c))}
+    if math.prod(a.combinations for a in {a.name: a for a in [*xa, *ya]}.values()) <= MOST_ANSWERS:
+        met = picked.groupBy(*keys).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    else:
+        met = picked.select(*keys, *[c.alias(k) for k, c in sums.items()])
+    array = lambda a: a.build([F.col(k) for k in named[a.name]])
+    x_pairs = []
+    for i, a in enumerate(xa):
+        hits = [F.when(F.col(f"__net{i}_{k}") if net.logic is not None else F.arrays_overlap(array(a), F.array(*map(F.lit, net.codes)).cast("array<int>")), F.lit(_NET - k)) for k, net in enumerate(nets.get(a.name, ()))]
+        x_pairs.append(_pairs(array(a), i, hits))
+    met = met.select(F.explode(F.concat(*x_pairs)).alias("x"), _all_pairs([array(a) for a in ya]).alias("y"), *sums)
+    met = met.select(F.col("x.v").alias("xv"), F.col("x.c").alias("xc"), F.explode("y").alias("y"), *sums)
+    cube = met.groupBy("xv", "xc", F.col("y.v").alias("yv"), F.col("y.c").alias("yc")).agg(*[F.sum(k).alias(k) for k in sums])
+    rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), F.col(f"n{i}").cast("long").alias("n"), F.col(f"s{i}").alias("w"), F.col(f"q{i}").alias("w2")) for i, w in enumerate(weights)])
+    flat = cube.select("xv", "xc", "yv", "yc", F.explode(rows).alias("r")).select("xv", "xc", "yv", "yc", "r.*")
     frame_rows = []
     for i, a in enumerate(xa):
         own_x = [(i, _MARGIN, a.name, ALL, 0), *((i, c, a.name, str(c), p + 1) for p, c in enumerate(a.codes))]
         own_x += [(i, _NET - k, a.name, f"net:{net.name}", len(a.codes) + k + 1) for k, net in enumerate(nets.get(a.name, ()))]
         frame_rows += [(*p, *q, w or "") for p in own_x for q in _y_frame(ya) for w in weights]
-    all_cells = survey.spark.createDataFrame(frame_rows, "xv int, xc int, x_var string, x_code string, x_pos int, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
-    return filled(all_cells, flat, ("xv", "xc", "yv", "yc", "weight")).drop("xv", "xc", "yv", "yc")
+    all_cells = local_frame(survey.spark, frame_rows, "xv int, xc int, x_var string, x_code string, x_pos int, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
+    return filled(all_cells, flat, ("xv", "xc", "yv", "yc", "weight"), len(frame_rows) <= MOST_CELLS).drop("xv", "xc", "yv", "yc")
 
 
 def _y_frame(ya: list[Axis]) -> list[tuple]:
@@ -521,7 +568,7 @@ def fused_stats(survey, specs: list[dict], ys: list[str], weights: list[str | No
             takes_part = takes_part & _answered(survey, spec["x"])
         scores.append(F.when(takes_part, F.struct(F.lit(i).alias("spec"), score.cast("double").alias("s"), squares.cast("double").alias("q"), mentions.cast("int").alias("m"))))
     n = range(len(weights))
-    picked = survey.filtered(where).select(F.array_compact(F.array(*scores)).alias("x"), _all_pairs(ya).alias("y"), *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
+    picked = survey.filtered(where).select(F.array_compact(F.array(*scores)).alias("x"), _all_pairs([a.array for a in ya]).alias("y"), *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
     names = [f"w{i}" for i in n]
     met = picked.select(F.explode("x").alias("x"), "y", *names).select("x", F.explode("y").alias("y"), *names)
     asked = []
@@ -534,8 +581,8 @@ def fused_stats(survey, specs: list[dict], ys: list[str], weights: list[str | No
     rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), *[F.col(f"{k}_{i}").alias(k) for k in keys]) for i, w in enumerate(weights)])
     flat = sums.select("spec", "yv", "yc", F.explode(rows).alias("r")).select("spec", "yv", "yc", "r.*").withColumns(_from_moments())
     frame_rows = [(i, spec["x"], *q, w or "") for i, spec in enumerate(specs) for q in _y_frame(ya) for w in weights]
-    all_cells = survey.spark.createDataFrame(frame_rows, "spec int, x_var string, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
-    met = all_cells.join(flat, ["spec", "yv", "yc", "weight"], "left")
+    all_cells = local_frame(survey.spark, frame_rows, "spec int, x_var string, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
+    met = all_cells.join(F.broadcast(flat) if len(frame_rows) <= MOST_CELLS else flat, ["spec", "yv", "yc", "weight"], "left")
     return met.select("spec", "x_var", "y_var", "y_code", "y_pos", "weight", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("b2", F.lit(0.0)).alias("b2"), *MOMENT_STATS)
 
 
@@ -546,7 +593,7 @@ def labelled(survey, result: DataFrame, text_key: str | None = None) -> DataFram
         own = survey.meta[name]
         rows += [(name, str(v.code), t) for v, t in zip(own.values or (), survey.meta.value_texts(name, text_key).values() if own.values else (), strict=False)]
         rows += [(name, i, t) for i, t in survey.meta.item_texts(name, text_key).items()]
-    texts = survey.spark.createDataFrame(rows or [("", "", "")], "var string, code string, text string")
+    texts = local_frame(survey.spark, rows or [("", "", "")], "var string, code string, text string")
     for a in "xy":
         own = texts.select(F.col("var").alias(f"{a}_var"), F.col("code").alias(f"{a}_code"), F.col("text").alias(f"{a}_text"))
         result = result.join(F.broadcast(own), [f"{a}_var", f"{a}_code"], "left").withColumn(f"{a}_text", F.coalesce(f"{a}_text", F.regexp_replace(f"{a}_code", "^(net|calc):", "")))

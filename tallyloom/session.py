@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Names may differ in case alone or hold dots; adaptive execution deals with skew and small partitions.
@@ -36,3 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a relation that the planner knows the size of, so that joins with it need no shuffle."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({name.strip("`"): pa.array(list(c), _ARROW[kind]) for (name, kind), c in zip(fields, columns, strict=True)}))
