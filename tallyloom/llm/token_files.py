@@ -50,6 +50,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Ids that a frame takes before the next begins; a longer document has a frame of its own.
 FRAME_IDS = 1 << 16
+#: Rows of a batch whose texts are Python strings at once.
+SLICE_ROWS = 250
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _FOOTER = struct.Struct("<IQBI")
 _INDEX = np.dtype([("doc_id", "<i8"), ("tokens", "<u4"), ("frame", "<u4"), ("at", "<u4")])
@@ -228,9 +230,11 @@ def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end
                 part = batch.column("part")[0].as_py()
                 out = store.open_output_stream(name, compression=None)
                 writer = FrameWriter(out, frame_ids)
-            texts = batch.column("text").to_pylist()
-            for doc_id, text in zip(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_pylist(), texts, strict=True):
-                writer.add(doc_id, np.append(encoder.ids(text), np.uint32(end_id)))
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part_rows = batch.slice(at, SLICE_ROWS)
+                ids = part_rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_pylist()
+                for doc_id, text in zip(ids, part_rows.column("text").to_pylist(), strict=True):
+                    writer.add(doc_id, np.append(encoder.ids(text), np.uint32(end_id)))
         if writer is not None:
             writer.close()
             size = out.tell()
