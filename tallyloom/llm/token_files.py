@@ -250,51 +250,56 @@ def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end
     return written(ordered.mapInArrow(run, "path string, part int, n_docs long, n_tokens long, n_bytes long"), "tokens-manifest")
 
 
+def _placed(manifest: DataFrame) -> DataFrame:
+    """path, start of each file, a task for each: rows this small would else be gathered in one."""
+    # a row for each file; the running sum over them is one small task
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.select("path", before.alias("start")).repartition(max(1, manifest.count()))
+
+
+def _frames(rows: Iterator[pa.RecordBatch], where: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, starts, ids of all, where a document's ids begin and the last end) of each frame of the files."""
+    store, _ = pafs.FileSystem.from_uri(where)
+    for batch in rows:
+        for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            with store.open_input_file(path) as source:
+                reader = FrameReader(source)
+                tokens = reader.index["tokens"].astype(np.int64)
+                starts = start + np.cumsum(tokens) - tokens
+                row = 0
+                while row < len(tokens):
+                    frame = int(reader.index["frame"][row])
+                    end = int(np.searchsorted(reader.index["frame"], frame, "right"))
+                    ids = np.concatenate([reader.document(i) for i in range(row, end)])
+                    yield reader.index["doc_id"][row:end].astype(np.int64), starts[row:end], ids, np.concatenate([[0], np.cumsum(tokens[row:end])])
+                    row = end
+
+
+def _ids_or_null(doc_ids: np.ndarray) -> pa.Array:
+    return pa.array(doc_ids, mask=doc_ids == np.iinfo(np.int64).min)
+
+
 def read_tokens(manifest: DataFrame, where: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids of every document in the files of a manifest."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(where)
-        for batch in rows:
-            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with store.open_input_file(path) as source:
-                    reader = FrameReader(source)
-                    tokens = reader.index["tokens"].astype(np.int64)
-                    starts = start + np.cumsum(tokens) - tokens
-                    row = 0
-                    while row < len(tokens):
-                        frame = int(reader.index["frame"][row])
-                        end = int(np.searchsorted(reader.index["frame"], frame, "right"))
-                        ids = np.concatenate([reader.document(i) for i in range(row, end)]).astype(np.uint32).view(np.int32)
-                        offsets = np.concatenate([[0], np.cumsum(tokens[row:end])]).astype(np.int32)
-                        doc_ids = reader.index["doc_id"][row:end].astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(doc_ids, mask=doc_ids == np.iinfo(np.int64).min), pa.array(starts[row:end]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
-                            names=["doc_id", "start", "ids"],
-                        )
-                        row = end
+        for doc_ids, starts, ids, offsets in _frames(rows, where):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([_ids_or_null(doc_ids), pa.array(starts), lists], names=["doc_id", "start", "ids"])
 
-    # a row for each file; the running sum over them is one small task
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.select("path", "part", before.alias("start"))
-    # a task for each file: rows this small would else be gathered in one
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return _placed(manifest).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def digests(manifest: DataFrame, where: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; the ids stay in the task that reads them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids = batch.column("ids")
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            crcs = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+        for doc_ids, starts, ids, offsets in _frames(rows, where):
+            raw = ids.astype("<u4")
+            crcs = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_ids_or_null(doc_ids), pa.array(starts), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(manifest, where).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
