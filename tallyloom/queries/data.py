@@ -81,7 +81,7 @@ def orders(spark: SparkSession, sf: str) -> Survey:
 
 ORDERS = """flagged AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END)) AS flags FROM lineitem GROUP BY 1),
 ord AS (SELECT o_orderkey AS okey, o_custkey AS ckey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS prio,
-  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END AS st, flags, o_totalprice AS total, (o_orderkey % 4) * 0.5 + 0.25 AS w
+  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END AS st, flags, o_totalprice AS total, CAST((o_orderkey % 4) * 0.5 + 0.25 AS DOUBLE) AS w
   FROM orders LEFT JOIN flagged ON o_orderkey = k)"""
 
 

@@ -408,7 +408,7 @@ def _scheme(name: str = "s", **more) -> weighting.Scheme:
     return weighting.Scheme(name, **more).targets([{"rf": {1: 50.0, 2: 30.0, 3: 20.0}}, {"ls": {1: 60.0, 2: 40.0}}])
 
 
-@query("wt_rake", "SELECT * FROM (VALUES ('ls', 1, 60.0), ('ls', 2, 40.0), ('rf', 1, 50.0), ('rf', 2, 30.0), ('rf', 3, 20.0)) t(v, code, pct)")
+@query("wt_rake", "SELECT v, code, CAST(pct AS DOUBLE) AS pct FROM (VALUES ('ls', 1, 60.0), ('ls', 2, 40.0), ('rf', 1, 50.0), ('rf', 2, 30.0), ('rf', 3, 20.0)) t(v, code, pct)")
 def wt_rake(spark, sf):
     """The margins that the weights give are the targets."""
     s = lines(spark, sf)
@@ -425,7 +425,7 @@ def wt_rake_weights(spark, sf):
     return s.df.groupBy("rf", "ls").agg(F.round(F.avg("rim"), 6).alias("rim"), F.count(F.lit(1)).alias("n"))
 
 
-@query("wt_rake_groups", "SELECT * FROM (VALUES (1, 70.0), (2, 30.0)) t(ls, pct)")
+@query("wt_rake_groups", "SELECT ls, CAST(pct AS DOUBLE) AS pct FROM (VALUES (1, 70.0), (2, 30.0)) t(ls, pct)")
 def wt_rake_groups(spark, sf):
     s = lines(spark, sf)
     scheme = weighting.Scheme("g")
