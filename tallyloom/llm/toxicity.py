@@ -9,8 +9,10 @@ are; a voter counts less the more others repeat it. The label model's posterior
 the target of a linear classifier, which scores every whole text.
 
 What is learned comes from at most ``SAMPLE_ROWS`` labelled rows (those of least
-doc_id hash, so a fixed sample for fixed rows) whose crc32 of doc_id, mod 4, isn't
-2. Near copies in the sample count once. Scores use the text alone.
+doc_id hash, so a fixed sample for fixed rows) of each label whose crc32 of doc_id,
+mod 4, isn't 2. A row weighs as many labelled rows as it stands for, so where one
+label is cut to its sample and the other isn't, shares stay those of all rows.
+Near copies in the sample count once. Scores use the text alone.
 
 Defined results: a null text is empty; empty texts get the score of a text without
 any feature. Rows repeated give a row each. With no labelled row the seed voters
@@ -93,25 +95,28 @@ def _near_key(text: str, width: int = 5) -> int:
 
 
 def sample(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """text, toxic of the rows to learn from, stored; near copies once."""
+    """text, toxic, weight of the rows to learn from, stored; near copies once."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     if labels is not None:
         known = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND of IS NOT NULL")
         known = known.filter(~held_out(F.col("of"))).groupBy("of").agg(F.max("toxic").alias("toxic"))
-        known = known.join(texts.select("doc_id").distinct(), F.col("of") == F.col("doc_id"), "left_semi")
+        known = written(known.join(texts.select("doc_id").distinct(), F.col("of") == F.col("doc_id"), "left_semi"), "toxicity-known")
+        there = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+        weigh = F.lit(max(there.get(0, 0) / SAMPLE_ROWS, 1.0))
+        weigh = F.when(F.col("toxic") == 1, F.lit(max(there.get(1, 0) / SAMPLE_ROWS, 1.0))).otherwise(weigh)
         order = F.hash("of")
         picked = known.filter("toxic = 1").orderBy(order, "of").limit(SAMPLE_ROWS).unionByName(known.filter("toxic = 0").orderBy(order, "of").limit(SAMPLE_ROWS))
-        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic")
+        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic", weigh.alias("weight"))
     else:
         picked = texts.select(F.col("doc_id").alias("of")).distinct().orderBy(F.hash("of"), "of").limit(SAMPLE_ROWS)
-        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))
+        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", F.lit(None).cast("int").alias("toxic"), F.lit(1.0).alias("weight"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [_near_key(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "toxic", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "toxic", "weight", "near"])
 
-    return written(rows.mapInArrow(keyed, "doc_id long, text string, toxic int, near long"), "toxicity-sample").dropDuplicates(["near", "toxic"])
+    return written(rows.mapInArrow(keyed, "doc_id long, text string, toxic int, weight double, near long"), "toxicity-sample").dropDuplicates(["near", "toxic"])
 
 
 def mined(rows: DataFrame) -> list[str]:
@@ -132,13 +137,15 @@ def mined(rows: DataFrame) -> list[str]:
                 )
 
     labelled = rows.filter("toxic IS NOT NULL")
-    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    if not total.n or not total.t:
+    total = {r.toxic: (r.n, r.w) for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w")).collect()}
+    (n0, w0), (n1, w1) = total.get(0, (0, 1.0)), total.get(1, (0, 1.0))  # all rows of a label weigh the same
+    if not n1:
         return []
-    share = total.t / total.n
-    found = labelled.select("text", "toxic").mapInArrow(counts, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    share = n1 * w1 / (n0 * w0 + n1 * w1)
+    found = labelled.select("text", "toxic").mapInArrow(counts, "feature string, n long, toxic long").groupBy("feature")
+    found = found.agg(F.sum("n").alias("rows"), (F.sum("toxic") * w1 + (F.sum("n") - F.sum("toxic")) * w0).alias("n"), (F.sum("toxic") * w1).alias("toxic"))
     lift = (F.col("toxic") - share * F.col("n")) / F.sqrt(F.col("n") * share * (1 - share))
-    best = found.filter((F.col("n") >= LEAST_TEXTS) & (F.col("toxic") > 1.5 * share * F.col("n"))).withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(FEATURES)
+    best = found.filter((F.col("rows") >= LEAST_TEXTS) & (F.col("toxic") > 1.5 * share * F.col("n"))).withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(FEATURES)
     return [r.feature for r in best.select("feature").collect()]
 
 
@@ -168,14 +175,16 @@ class Reader:
         return sorted(found) + [len(self.names) + i for i, p in enumerate(patterns(text)) if p]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row; each voter's rates of voting given label 0 and 1; and their correlations.
 
     votes: rows by voters, 1 where a voter calls the text toxic. labels: 0, 1 or -1
     (unknown); a known label is one more voter, right in all but one of LABEL_ODDS cases.
+    weights: the rows that each row stands for, one if not given.
     """
     n, m = votes.shape
     v = votes.astype(np.float64)
+    c = np.ones(n) if weights is None else weights
     known = labels >= 0
     seen = np.where(known, np.where(labels == 1, math.log(LABEL_ODDS), -math.log(LABEL_ODDS)), 0.0)
     prior = 0.1
@@ -184,13 +193,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     rates = np.zeros((2, m))
     corr = np.eye(m)
     for step in range(rounds):
-        on, off = p.sum() + 1e-9, (1 - p).sum() + 1e-9
-        rates[1] = (p @ v + 0.5) / (on + 1)
-        rates[0] = ((1 - p) @ v + 0.5) / (off + 1)
+        on, off = (c * p).sum() + 1e-9, (c * (1 - p)).sum() + 1e-9
+        rates[1] = ((c * p) @ v + 0.5) / (on + 1)
+        rates[0] = ((c * (1 - p)) @ v + 0.5) / (off + 1)
         prior = min(max(on / (on + off), 0.001), 0.999)
         if step in (5, 15):  # what voters share beyond the label
             left = v - (p[:, None] * rates[1] + (1 - p)[:, None] * rates[0])
-            cov = left.T @ left / n
+            cov = left.T @ (c[:, None] * left) / c.sum()
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             corr = np.clip(cov / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(corr, 1)
@@ -203,17 +212,19 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     return p, rates, corr
 
 
-def linear(rows: list[list[int]], width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on presence features and soft targets."""
+def linear(rows: list[list[int]], width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-4, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on presence features and soft targets; counts: the rows that each stands for."""
+    c = np.ones(len(rows)) if counts is None else counts
+    share = float((c * targets).sum() / c.sum()) if len(rows) else 0.0
     lengths = np.array([len(r) for r in rows])
     at = np.concatenate([np.array(r, np.int64) for r in rows if r] or [np.zeros(0, np.int64)])
     row = np.repeat(np.arange(len(rows)), lengths)
-    w, b = np.zeros(width), math.log(max(targets.mean(), 1e-4) / max(1 - targets.mean(), 1e-4)) if len(rows) else -3.0
+    w, b = np.zeros(width), math.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(rows) else -3.0
     mean, var = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(row, weights=w[at], minlength=len(rows)) + b
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets
-        grad = np.append(np.bincount(at, weights=error[row], minlength=width) / max(len(rows), 1) + decay * w, error.mean() if len(rows) else 0)
+        error = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets)
+        grad = np.append(np.bincount(at, weights=error[row], minlength=width) / max(c.sum(), 1) + decay * w, error.sum() / c.sum() if len(rows) else 0)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -241,12 +252,12 @@ def train(docs: DataFrame, labels: DataFrame | None) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [reader.read(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column("toxic")], names=["found", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column("toxic"), batch.column("weight")], names=["found", "toxic", "weight"])
 
     # the sample's rows are bounded by its size, not by the corpus
-    got = rows.select("text", "toxic").mapInArrow(read, "found array<int>, toxic int").collect()
-    got = sorted((list(r.found), -1 if r.toxic is None else r.toxic) for r in got)
-    found, known = [g[0] for g in got], np.array([g[1] for g in got], np.int64)
+    got = rows.select("text", "toxic", "weight").mapInArrow(read, "found array<int>, toxic int, weight double").collect()
+    got = sorted((list(r.found), -1 if r.toxic is None else r.toxic, r.weight) for r in got)
+    found, known, counts = [g[0] for g in got], np.array([g[1] for g in got], np.int64), np.array([g[2] for g in got], np.float64)
     if not found:
         return Model(features, np.where(np.arange(reader.width) < len(reader.names), 4.0, 0.0), -3.0)
     voters = [[reader.number[f]] for f in features[:VOTERS]]
@@ -260,8 +271,8 @@ def train(docs: DataFrame, labels: DataFrame | None) -> Model:
         for f in own:
             for j in voter_of.get(f, ()):
                 votes[i, j] = True
-    posterior, _, _ = label_model(votes, known)
-    weights, bias = linear(found, reader.width, posterior)
+    posterior, _, _ = label_model(votes, known, weights=counts)
+    weights, bias = linear(found, reader.width, posterior, counts=counts)
     return Model(features, weights, bias)
 
 

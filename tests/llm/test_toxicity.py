@@ -63,3 +63,18 @@ def test_without_labels_the_seed_voters_teach(make, words, spark):
         got = {r.doc_id: r.score for r in tx.scored(make(rows), model, "doc_id").collect()}
         assert min(s for i, s in got.items() if i % 5 == 0) > max(s for i, s in got.items() if i % 5)
     assert tx.train(make([]), None).score("you idiot") > tx.train(make([]), None).score("hello")
+
+
+def test_a_label_cut_to_its_sample_keeps_its_share(make, spark, monkeypatch):
+    rows = [(i, f"{i} plain words" + (" gloop" if i // 10 % (2 if i % 10 == 0 else 10) == 0 else "")) for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+
+    def scores():
+        model = tx.train(make(rows), labels)
+        return model.score("plain words"), model.score("plain words gloop")
+
+    whole = scores()
+    monkeypatch.setattr(tx, "SAMPLE_ROWS", 200)  # all toxic rows, and about one in seven of the clean ones
+    cut = scores()
+    assert whole[0] < 0.1 < 0.3 < whole[1]
+    assert cut[0] < 0.15 and abs(cut[1] - whole[1]) < 0.15
