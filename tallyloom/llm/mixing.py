@@ -7,6 +7,11 @@ calibrated probability: its weight times the share of all tokens wanted, one at
 most. What the cap takes from a cell is kept as the rows' ``weight``, by which
 sums over the sample meet the targets in expectation.
 
+A sample that is handed on without weights (:func:`sampled`) is fitted with the cap
+inside the raking, so that what the cap takes from a cell goes to others and the
+sample itself meets the targets. A value of fewer tokens than its target is wanted
+whole, and the rest of the target goes to the dimension's other values.
+
 Cells are aggregated by Spark. Up to ``CELLS`` of them the rounds run in numpy on
 the driver; beyond, they run on the cell table in Spark, a written table a round.
 
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 ROUNDS = 20
+#: Rounds of raking under the cap, at most; they end where every value is within NEAR of its target.
+CAPPED_ROUNDS, NEAR = 200, 1e-3
 #: Share of all tokens that the sample is to have.
 KEEP = 0.5
 #: Exponent on a value's share of the tokens that makes its target share.
@@ -60,13 +67,65 @@ def rake(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return weight
 
 
-def _rake_in_spark(cells: DataFrame, columns: list[str], temper: float, rounds: int) -> DataFrame:
+def attainable(targets: np.ndarray, tokens: np.ndarray, keep: float) -> np.ndarray:
+    """Targets of which a share ``keep`` is at most the value's tokens; what is cut goes to the other values in proportion."""
+    full = np.zeros(len(targets), bool)
+    made = targets
+    while len(targets) and (over := ~full & (made * keep > tokens)).any():
+        full |= over
+        rest = targets.sum() - tokens[full].sum() / keep
+        made = np.where(full, tokens / keep, targets * (rest / max(targets[~full].sum(), 1e-300)))
+    return made
+
+
+def rake_capped(cells: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], keep: float) -> np.ndarray:
+    """Cell weights f of which min(f * keep, 1) meets the targets' share ``keep``; see :func:`rake`."""
+    weight = np.ones(len(tokens))
+    for _ in range(CAPPED_ROUNDS):
+        off = 0.0
+        for value, target in zip(cells, targets, strict=True):
+            now = np.bincount(value, weights=tokens * np.minimum(weight, 1 / keep), minlength=len(target))
+            off = max(off, float(np.abs(target / now - 1).max(initial=0)))
+            weight = weight * (target / now)[value]
+        if off < NEAR:
+            break
+    return weight
+
+
+def _attainable_in_spark(own: DataFrame, total: float, keep: float) -> DataFrame:
+    """:func:`attainable` of a table of values with ``of`` and ``target``."""
+    own = written(own.withColumn("made", F.col("target")), "mixing-targets")
+    while own.filter(F.col("made") * keep > F.col("of") * (1 + 1e-12)).head(1):
+        full = F.col("made") * keep >= F.col("of") * (1 - 1e-12)
+        whole, free = own.agg(F.sum(F.when(full, F.col("of"))), F.sum(F.when(~full, F.col("target")))).first()
+        scale = (total - (whole or 0) / keep) / max(free or 0.0, 1e-300)
+        own = written(own.withColumn("made", F.when(full, F.col("of") / keep).otherwise(F.col("target") * scale)), "mixing-targets")
+    return own.select(*own.columns[:-3], F.col("made").alias("target"))
+
+
+def _rake_in_spark(cells: DataFrame, columns: list[str], temper: float, rounds: int, keep: float | None = None) -> DataFrame:
     total = cells.agg(F.sum("tokens")).first()[0]
     for c in columns:
         own = cells.groupBy(c).agg(F.sum("tokens").alias("of"))
         scale = own.agg(F.sum(F.pow(F.col("of") / total, F.lit(temper)))).first()[0]
-        cells = cells.join(own.select(c, (F.pow(F.col("of") / total, F.lit(temper)) / scale * total).alias(f"target{c}")), c)
+        own = own.select(c, "of", (F.pow(F.col("of") / total, F.lit(temper)) / scale * total).alias("target"))
+        own = own.select(c, "target") if keep is None else _attainable_in_spark(own, total, keep)
+        cells = cells.join(own.withColumnRenamed("target", f"target{c}"), c)
     cells = written(cells.withColumn("f", F.lit(1.0)), "mixing-cells")
+    if keep is not None:
+        for _ in range(CAPPED_ROUNDS):
+            offs = []
+            for n, c in enumerate(columns):
+                now = cells.groupBy(c).agg(F.sum(F.col("tokens") * F.least("f", F.lit(1 / keep))).alias("now"))
+                step = F.col(f"target{c}") / F.col("now")
+                cells = cells.join(now, c).withColumns({"f": F.col("f") * step, f"off{n}": F.abs(step - 1)}).drop("now")
+                offs.append(f"off{n}")
+            cells = written(cells, "mixing-cells")
+            off = cells.agg(F.max(F.greatest(*offs))).first()[0] or 0.0
+            cells = cells.drop(*offs)
+            if off < NEAR:
+                break
+        return cells.select(*columns, "tokens", "f")
     for _ in range(rounds):
         for c in columns:
             now = cells.groupBy(c).agg(F.sum(F.col("tokens") * F.col("f")).alias("now"))
@@ -75,42 +134,47 @@ def _rake_in_spark(cells: DataFrame, columns: list[str], temper: float, rounds:
     return cells.select(*columns, "tokens", "f")
 
 
-def cell_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, most: int = CELLS) -> tuple[DataFrame, bool]:
-    """(__source, __lang, __topic, f for each cell; whether there are at most ``most``). ``docs`` comes from :func:`celled`."""
+def cell_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, most: int = CELLS, capped: float | None = None) -> tuple[DataFrame, bool]:
+    """(__source, __lang, __topic, f for each cell; whether there are at most ``most``). ``docs`` comes from :func:`celled`.
+
+    capped: the share of all tokens to keep, for which the fit is made under the cap.
+    """
     columns = [f"__{d}" for d in DIMENSIONS]
     cells = written(docs.groupBy(*columns).agg(F.sum("__tokens").alias("tokens")), "mixing-cells")
     spark = docs.sparkSession
     n = cells.count()
     if n > most:
-        return _rake_in_spark(cells, columns, temper, rounds).select(*columns, "f"), False
+        return _rake_in_spark(cells, columns, temper, rounds, capped).select(*columns, "f"), False
     rows = sorted(cells.collect())
     tokens = np.array([r.tokens for r in rows], np.float64)
     numbered, targets = [], []
     for c in columns:
         names, value = np.unique([r[c] for r in rows], return_inverse=True) if rows else ([], np.zeros(0, np.int64))
-        share = np.power(np.bincount(value, weights=tokens, minlength=len(names)) / max(tokens.sum(), 1), temper)
+        own = np.bincount(value, weights=tokens, minlength=len(names))
+        share = np.power(own / max(tokens.sum(), 1), temper)
         numbered.append(value)
-        targets.append(share / share.sum() * tokens.sum() if len(names) else share)
-    weight = rake(numbered, tokens, targets, rounds)
+        target = share / share.sum() * tokens.sum() if len(names) else share
+        targets.append(target if capped is None else attainable(target, own, capped))
+    weight = rake(numbered, tokens, targets, rounds) if capped is None else rake_capped(numbered, tokens, targets, capped)
     made = [(*(r[c] for c in columns), float(w)) for r, w in zip(rows, weight, strict=True)]
     return spark.createDataFrame(made, "__source string, __lang string, __topic string, f double"), True
 
 
-def mixed(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, most: int = CELLS) -> DataFrame:
-    """``docs`` with __p (probability), __weight and __kept."""
+def mixed(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, most: int = CELLS, capped: bool = False) -> DataFrame:
+    """``docs`` with __p (probability), __weight and __kept; ``capped``: fitted under the cap, with weights of one."""
     split = celled(docs)
-    weights, few = cell_weights(split, temper, rounds, most)
+    weights, few = cell_weights(split, temper, rounds, most, keep if capped else None)
     names = [f"__{d}" for d in DIMENSIONS]
     met = split.join(F.broadcast(weights) if few else weights, names)
     wanted = F.col("f") * keep
     p = F.least(wanted, F.lit(1.0))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return met.withColumns({"__p": p, "__weight": wanted / p, "__kept": draw < p}).drop("f", "__tokens")
+    return met.withColumns({"__p": p, "__weight": F.lit(1.0) if capped else wanted / p, "__kept": draw < p}).drop("f", "__tokens")
 
 
 def sampled(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``."""
-    return mixed(docs, keep, temper, rounds).filter("__kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows that are kept, with the columns of ``docs``. They have no weights, so the fit is made under the cap."""
+    return mixed(docs, keep, temper, rounds, capped=True).filter("__kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

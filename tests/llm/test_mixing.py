@@ -50,3 +50,24 @@ def test_odd_rows(odd, make):
     assert len(twos) == 1
     assert {r["__topic"] for r in got if not (r.text or "").strip(" ")} == {"blank"}
     assert mixing.sampled(make([])).count() == 0
+
+
+@pytest.fixture
+def rare(make):
+    """A source of four fifths, and ten of a fiftieth each, of which the targets ask for more than there is."""
+    return make([(i, "one two three four five", "de" if i % 4 == 0 else "en", "big" if i < 1600 else f"rare{i % 10}") for i in range(2000)])
+
+
+def test_the_sample_itself_meets_the_targets(rare):
+    kept = [(r.source, r.lang) for r in mixing.sampled(rare).collect()]
+    assert abs(len(kept) / 2000 - 0.5) < 0.03
+    assert all(sum(s == f"rare{n}" for s, _ in kept) == 40 for n in range(10))  # all there is
+    de = 0.5 / (0.5 + 0.75**0.5)
+    assert abs(sum(lang == "de" for _, lang in kept) / len(kept) - de) < 0.03
+
+
+def test_probabilities_under_the_cap_meet_attainable_targets(rare):
+    few = {r.doc_id: r["__p"] for r in mixing.mixed(rare, capped=True).collect()}
+    many = {r.doc_id: r["__p"] for r in mixing.mixed(rare, most=0, capped=True).collect()}
+    assert max(few.values()) <= 1 and abs(sum(few.values()) - 1000) < 2
+    assert few.keys() == many.keys() and all(abs(few[d] - many[d]) < 1e-6 for d in few)
