@@ -150,16 +150,15 @@ def _compared(rows: Iterator[pa.RecordBatch], finer: bool) -> Iterator[pa.Record
             yield table(keys, fps, True)
             held_k = held_f = np.zeros(0, np.uint64)
             continue
-        if finer and batch is not None and len(keys) - end > CROWD:
-            crowded = keys[-1]
-            yield table(keys[end:], fps[end:], True)
-            held_k = held_f = np.zeros(0, np.uint64)
-        else:
-            held_k, held_f = keys[end:], fps[end:]
+        held_k, held_f = keys[end:], fps[end:]
         keys, fps = keys[:end], fps[:end]
         if crowded is not None and (late := keys == crowded).any():  # the rest of a crowd that began in another batch
             yield table(keys[late], fps[late], True)
             keys, fps = keys[~late], fps[~late]
+        if finer and batch is not None and len(held_k) > CROWD:  # another crowd, so only now that the one before is through
+            crowded = held_k[0]
+            yield table(held_k, held_f, True)
+            held_k = held_f = np.zeros(0, np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         group = np.repeat(sizes, sizes)

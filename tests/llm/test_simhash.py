@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,3 +142,13 @@ def test_representatives(odd, make, words):
     assert sorted((str(r.doc_id), r.text or "") for r in simhash.representatives(shared).collect()) == sorted([("5", words(50, 1)), ("3", words(50, 2)), ("None", words(50, 3)), ("None", "")])
     plain = make([(1, words(50, 1)), (2, words(50, 1)), (3, words(50, 2))])
     assert sorted(r.doc_id for r in simhash.representatives(plain).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("size", range(1, 61))
+def test_adjacent_crowds_come_out_whole_at_all_batch_sizes(monkeypatch, size):
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    keys = np.repeat(np.array([1, 2, 3, 4], np.int64), [20, 25, 3, 30])
+    fps = np.arange(len(keys), dtype=np.int64) << 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(fps[i : i + size])], names=["key", "fp"]) for i in range(0, len(keys), size)]
+    out = [(u, v) for b in simhash._compared(iter(batches), True) for u, v, crowd in zip(*(c.to_pylist() for c in b.columns), strict=True) if crowd]
+    assert sorted(out) == [(k, f) for k, f in zip(keys.tolist(), fps.tolist(), strict=True) if k != 3]
