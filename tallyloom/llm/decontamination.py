@@ -7,8 +7,10 @@ meet, documents and items are compared token by token along the diagonal. Slots
 must be filled consistently: one value of the item always stands for one value of
 the document and the other way round, so a question with new numbers is caught and
 two texts that share a pattern with numbers all over are not. A document is
-contaminated by an item if it holds a run of ``RUN`` of its tokens, or ``SHARE``
-of all of them along one diagonal.
+contaminated by an item if it holds a run of ``RUN`` of its tokens, verbatim or with
+consistent slots, or ``SHARE`` of all of them along one diagonal. What differs
+outside of such a run takes nothing from it; of a run that is inconsistent as a
+whole, a consistent part counts if it has ``RUN`` words besides its slots.
 
 The items are a stated query set, asked in blocks of bounded size against all
 documents; a block goes to every task.
@@ -128,6 +130,67 @@ def _consistent(a: list[bytes], b: list[bytes]) -> bool:
     return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b, strict=True))
 
 
+def _runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """Where stretches of true begin and end."""
+    edges = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+
+
+def _consistent_run(slots: np.ndarray, mine: list[bytes], theirs: list[bytes]) -> tuple[int, int] | None:
+    """The longest stretch of an inconsistent or slot-heavy run with consistent slots, no more of them than WORDS allows, and RUN words."""
+    said = np.concatenate([[0], np.cumsum(~slots)]).tolist()
+    heavy = np.concatenate([[0.0], np.cumsum(slots - (1 - WORDS))]).tolist()
+    there: dict[bytes, tuple[bytes, int]] = {}  # a value's last partner, and where
+    back: dict[bytes, tuple[bytes, int]] = {}
+    left, best = 0, None
+    for j in range(len(slots)):
+        if slots[j]:
+            for at, x, y in ((there, mine[j], theirs[j]), (back, theirs[j], mine[j])):
+                if x in at and at[x][0] != y:
+                    left = max(left, at[x][1] + 1)
+                at[x] = (y, j)
+        for i in range(left, j + 1 - (best[1] - best[0] if best else 0)):
+            if said[j + 1] - said[i] < RUN:
+                break
+            if heavy[j + 1] <= heavy[i]:
+                best = (i, j + 1)
+                break
+    return best
+
+
+def _judged(same: np.ndarray, slots: np.ndarray, mine: list[bytes], theirs: list[bytes], share: float) -> tuple[int, int, bool] | None:
+    """(begin, length, verbatim) of the run by which a diagonal is a leak: the longest run or the whole share if
+    either holds, else the longest verbatim run of RUN words, else the longest other run or stretch of a run that holds."""
+
+    def holds(use: list[int] | range) -> bool:
+        picks = [j for j in use if slots[j]]
+        return len(picks) <= (1 - WORDS) * len(use) and _consistent([mine[j] for j in picks], [theirs[j] for j in picks])
+
+    runs = _runs(same)
+    begin, end = max(runs, key=lambda r: (r[1] - r[0], -r[0]))
+    if end - begin >= RUN or share >= SHARE:
+        use = range(begin, end) if share < SHARE else np.flatnonzero(same).tolist()
+        if all(mine[j] == theirs[j] for j in use):
+            return begin, end - begin, True
+        if holds(use):
+            return begin, end - begin, False
+    if len(same) < RUN:
+        return None
+    begin, end = max(_runs(np.array([x == y for x, y in zip(mine, theirs, strict=True)])), key=lambda r: r[1] - r[0], default=(0, 0))
+    if end - begin >= RUN:
+        return begin, end - begin, True
+    found = []
+    for begin, end in runs:
+        if end - begin >= RUN and holds(range(begin, end)):
+            found.append((begin, end))
+        elif end - begin >= RUN and (own := _consistent_run(slots[begin:end], mine[begin:end], theirs[begin:end])):
+            found.append((begin + own[0], begin + own[1]))
+    if not found:
+        return None
+    begin, end = max(found, key=lambda r: r[1] - r[0])
+    return begin, end - begin, mine[begin:end] == theirs[begin:end]
+
+
 class Matcher:
     """Matches of texts with an index."""
 
@@ -161,25 +224,14 @@ class Matcher:
             d0, d1 = int(ends[text]), int(ends[text + 1])
             lo, hi = max(i0, d0 - shift), min(i1, d1 - shift)
             same = index.names[lo:hi] == names[lo + shift : hi + shift]
-            edges = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
-            begins, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            k = int(np.argmax(stops - begins))
-            run, share = int(stops[k] - begins[k]), float(same.sum()) / (i1 - i0)
-            if run < RUN and share < SHARE:
+            share = float(same.sum()) / (i1 - i0)
+            mine = index.words[lo:hi]
+            theirs = [w.strip(_EDGE).lower() for w in words[text][lo + shift - d0 : hi + shift - d0]]
+            judged = _judged(same, index.slots[lo:hi], mine, theirs, share)
+            if judged is None:
                 continue
-            use = np.arange(begins[k], stops[k]) if share < SHARE else np.flatnonzero(same)
-            own = words[text]
-            mine = [index.words[lo + j] for j in use]
-            theirs = [own[lo + shift - d0 + j].strip(_EDGE).lower() for j in use]
-            in_slots = index.slots[lo:hi][use]
-            verbatim = mine == theirs
-            if not verbatim:
-                if in_slots.mean() > 1 - WORDS:
-                    continue
-                picks = np.flatnonzero(in_slots)
-                if not _consistent([mine[j] for j in picks], [theirs[j] for j in picks]):
-                    continue
-            now = (int(lo + shift - d0 + begins[k]), run, round(share, 4), verbatim)
+            begin, run, verbatim = judged
+            now = (int(lo + shift - d0 + begin), run, round(share, 4), verbatim)
             if (text, item) not in best or (now[2], now[1]) > (best[text, item][2], best[text, item][1]):
                 best[text, item] = now
         for (text, item), row in sorted(best.items()):

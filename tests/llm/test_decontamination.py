@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyloom.llm import decontamination as dc
@@ -95,3 +96,38 @@ def test_odd_rows(odd, make, items, spark):
     assert found(make([(1, one), (1, one), (None, one)]), items[0]) == [(1, 0), (1, 0), (None, 0)]
     twice = spark.createDataFrame([(7, one), (7, one)], "item_id long, text string")
     assert found(make([(1, one)]), twice) == [(1, 7), (1, 7)]
+
+
+def test_what_differs_beside_a_run_takes_nothing_from_it(make, spark):
+    head = "the old farmer by the river sold 5 dollars worth of ripe"
+    tail = "to the quiet neighbours who came along the muddy road early in the morning with a cart and counted 5 apples"
+    item = f"{head} {tail}"
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"
+    heavy = f"{numbers} x so then each of the workers carried a heavy sack home"
+    table = spark.createDataFrame([(1, item), (2, heavy)], "item_id long, text string")
+    docs = make(
+        [
+            (1, item.replace("5 apples", "6 apples")),  # a verbatim run, and a slot that contradicts another one
+            (2, f"{head.replace('5', '7')} {tail.replace('5', '8')}"),  # each half consistent by itself
+            (3, heavy.replace("1 2 3", "3 2 2")),  # a longer run of slots, and a verbatim one after it
+            (4, heavy.replace(numbers, " ".join(str(90 - n) for n in range(20))).replace("sack", "bag").replace("then", "now")),  # too few words
+        ]
+    )
+    assert found(docs, table) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_consistent_stretches_by_trying_all():
+    rng = random.Random(3)
+    for _ in range(400):
+        n = rng.randint(8, 30)
+        slots = np.array([rng.random() < 0.5 for _ in range(n)])
+        mine = [str(rng.randint(0, 4)).encode() if s else b"w" for s in slots]
+        theirs = [str(rng.randint(0, 9) if rng.random() < 0.15 else int(x) + 1).encode() if s else b"w" for s, x in zip(slots, mine, strict=True)]
+        fits = []
+        for i in range(n):
+            for j in range(i + dc.RUN, n + 1):
+                picks = [k for k in range(i, j) if slots[k]]
+                if len(picks) * 2 <= j - i and j - i - len(picks) >= dc.RUN and dc._consistent([mine[k] for k in picks], [theirs[k] for k in picks]):
+                    fits.append(j - i)
+        got = dc._consistent_run(slots, mine, theirs)
+        assert (got[1] - got[0] if got else 0) == max(fits, default=0)
