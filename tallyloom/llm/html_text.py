@@ -69,40 +69,67 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _SPACE = re.compile(r"\s+")
 
 
-def _is_furniture(name: str, rest: str, inside_main: bool) -> bool:
+#: How an element is known for furniture: by a word within a class or id, by a whole class or id, by its tag, role or being hidden.
+_WITHIN, _WHOLE, _SURE = 1, 2, 3
+
+
+def _furniture(name: str, rest: str, inside_main: bool) -> int:
     if name in _FURNITURE:
-        return True
+        return _SURE
     if name == "header":
-        return not inside_main
+        return 0 if inside_main else _SURE
     if name in ("html", "body", "main"):
-        return bool(rest and _HIDDEN.search(rest))
+        return _SURE if rest and _HIDDEN.search(rest) else 0
     if not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return 0
     if _HIDDEN.search(rest):
-        return True
+        return _SURE
+    most = 0
     for key, *values in _NAMED.findall(rest):
         value = next((v for v in values if v), "")
         key = key.lower()
         if key == "role":
             if value.strip().lower() in _ROLES:
-                return True
+                return _SURE
             continue
         if key == "itemprop":
             if value.strip().lower() in ("comment", "author"):
-                return value.strip().lower() == "comment"
+                return _SURE if value.strip().lower() == "comment" else most
             continue
         for one in value.split():
             words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
             found = _NOT_TEXT.intersection([*words, *map("".join, zip(words, words[1:], strict=False))])
             if found and not (found <= {"header", "foot", "banner", "share", "legal", "form", "print", "alert", "popular", "search"} and {"article", "post", "entry", "story", "content"} & set(words)):
-                return True
-    return False
+                most = max(most, _WHOLE if one.lower() in _NOT_TEXT else _WITHIN)
+    return most
+
+
+class _Article:
+    """An article or main element: where it and the elements around it begin, its characters, and what makes it furniture."""
+
+    def __init__(self, opened: list[int], known: int):
+        self.opened, self.known, self.size = opened, known, 0
 
 
 def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, in furniture, in an article or main element) of each block with text."""
+    """(text, characters of it in links, in furniture, in an article or main element) of each block with text.
+
+    The article with the most text isn't taken for furniture by words within classes
+    or ids of it or of what is around it; nor by any, where no other article has text.
+    """
+    out, articles = _read(html, frozenset())
+    best = max(articles, key=lambda a: (a.known < _SURE, a.size), default=None)
+    if best and best.size and (best.known == _WITHIN or best.known == _WHOLE and not any(m and not f for _, _, f, m in out)):
+        out, _ = _read(html, frozenset(best.opened))
+    return out
+
+
+def _read(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool, bool]], list[_Article]]:
+    """The lines, with no class or id looked at of elements that begin at ``spared``; and the articles."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, in furniture, in the article
+    around: list[tuple[int, int, _Article | None, bool]] = []  # where they begin, what they are known by, their article, in furniture inside it
+    articles: list[_Article] = []
     pieces: list[str] = []
     linked = links = 0
     furniture = main = False
@@ -113,6 +140,8 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
             text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
                 out.append((text, linked, furniture, main))
+                if around and around[-1][2] and not around[-1][3]:
+                    around[-1][2].size += len(text)
             pieces.clear()
         linked = 0
 
@@ -120,7 +149,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal furniture, main, links
         for name, *_ in stack[at:]:
             links -= name == "a"
-        del stack[at:]
+        del stack[at:], around[at:]
         furniture, main = stack[-1][1:] if stack else (False, False)
 
     def add(text: str) -> None:
@@ -169,13 +198,23 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         rest = tag["rest"]
         if rest.rstrip().endswith("/") and name not in _BLOCKS:
             continue
-        stack.append((name, furniture or _is_furniture(name, rest, main), main or name in _MAIN or 'role="main"' in rest))
+        known = _furniture(name, rest, main)
+        if known < _SURE and tag.start() in spared:
+            known = 0
+        _, outer, article, inner = around[-1] if around else (0, 0, None, False)
+        if name in _MAIN:
+            article, inner = _Article([*(a[0] for a in around), tag.start()], max(outer, known)), False
+            articles.append(article)
+        else:
+            inner = inner or known > 0
+        around.append((tag.start(), max(outer, known), article, inner))
+        stack.append((name, furniture or known > 0, main or name in _MAIN or 'role="main"' in rest))
         furniture, main = stack[-1][1:]
         links += name == "a"
     if at < len(html):
         add(html[at:])
     flush()
-    return out
+    return out, articles
 
 
 def stretches(lengths: list[int], surge: int, window: int = BLOCK_LINES) -> list[tuple[int, int]]:

@@ -51,3 +51,24 @@ def test_table(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in extract(pages, "html", "page_id", "url").collect())
     assert got == [("1", "", 0), ("1", "é & <x>", 7), ("2", "x", 1), ("None", "", 0)]
     assert extract(pages.limit(0), "html", "page_id").count() == 0
+
+
+TEXT = "A sentence of the article, which has some more words than others. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article class='post comments-open'>{}</article>", "{}"),
+        ("<article class='hentry tag-legal'>{}</article><p>outside</p>", "{}"),
+        ("<div class='content has-sidebar'><article>{}<div class='newsletter'>no</div></article></div>", "{}"),
+        ("<div id='page' class='page-widget'><article>{}</article></div>", "{}"),
+        ("<main><h1>T</h1><article class='comments-open'>{}</article></main>", "T\n{}"),
+        ("<div class='widget'><article>{}</article></div><p>outside</p>", "{}"),
+        ("<article>{}</article><div class='comments'><article class='comment'>{}{}</article></div>", "{}"),
+        ("<article>{}</article><div class='related-posts'><article>teaser</article></div>", "{}"),
+        ("<aside class='x-widget'><article>{}</article></aside>", ""),
+    ],
+)
+def test_an_article_is_no_furniture_by_a_word_in_a_class(html, text):
+    assert main_text(html.replace("{}", f"<p>{TEXT}</p>")) == text.replace("{}", TEXT.strip())
