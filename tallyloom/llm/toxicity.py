@@ -116,7 +116,9 @@ def sample(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
             keys = [_near_key(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "toxic", "weight", "near"])
 
-    return written(rows.mapInArrow(keyed, "doc_id long, text string, toxic int, weight double, near long"), "toxicity-sample").dropDuplicates(["near", "toxic"])
+    # of near copies the one of least doc_id, then text, and stored: every read of the sample sees the same rows
+    least = rows.mapInArrow(keyed, "doc_id long, text string, toxic int, weight double, near long").groupBy("near", "toxic").agg(F.min(F.struct("doc_id", "text", "weight")).alias("one"))
+    return written(least.select("one.doc_id", "one.text", "toxic", "one.weight", "near"), "toxicity-sample")
 
 
 def mined(rows: DataFrame) -> list[str]:

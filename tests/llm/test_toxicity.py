@@ -78,3 +78,15 @@ def test_a_label_cut_to_its_sample_keeps_its_share(make, spark, monkeypatch):
     cut = scores()
     assert whole[0] < 0.1 < 0.3 < whole[1]
     assert cut[0] < 0.15 and abs(cut[1] - whole[1]) < 0.15
+
+
+def test_of_near_copies_the_least_is_learned_from(make, spark):
+    rows = [(i, " ".join(["same words here once more again", *["again"] * (i % 7)])) for i in range(200, 0, -1)]
+    labels = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")
+    docs = make(rows).repartition(7)
+    got = [tx.sample(docs, labels).select("near", "doc_id").collect() for _ in range(2)]
+    texts = {i: t for i, t in rows if tx.crc_mod(i) != 2}
+    least = {}
+    for i in sorted(texts):
+        least.setdefault((tx._near_key(texts[i]) + 2**63) % 2**64 - 2**63, i)
+    assert dict(map(tuple, got[0])) == dict(map(tuple, got[1])) == least
