@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES = {**exact_dedup.ORACLE_SQL, **line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL}
+ORACLES = {**exact_dedup.ORACLE_SQL, **line_dedup.ORACLE_SQL, **mixing.ORACLE_SQL, **substring_dedup.ORACLE_SQL}

@@ -23,10 +23,19 @@ Before either shuffle each block of documents sends one row for a span or window
 that it holds many times, and one row for an anchor with many spans, so that a
 passage found in a third of all documents is as many rows as there are blocks.
 
+A row is known by its doc_id and a 64-bit hash of its text through all steps, so rows
+of one doc_id, or of none, meet no places but their own. Spans of one anchor arrive
+sorted and are judged as they pass: a group of any size takes the memory of two rows.
+
+Names are hashes: two different runs of words are taken for equal only if 128 bits
+agree (anchor and span, or both hashes of a window). No words are compared after that.
+
 Defined results: null and blank texts have no words; kept text is empty. Rows with
 one doc_id and different texts are different documents, ordered by a hash of the
 text; rows alike in both are one document and each returns its result. A null
-doc_id sorts last. Empty tables give no rows. Other columns are not read.
+doc_id sorts last. Of equal windows at one place there is one. Very long texts are
+named whole. Empty tables give no rows. Other columns are not read, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -35,35 +44,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, as_binary, documents, mixed, paired, text_blocks, text_bytes, written
+from .common import Rolling, WordHashes, as_binary, documents, mixed, paired, text_blocks, written
 
 WINDOW = 20
 #: An anchor stands at least so many words from either end of its windows.
 MARGIN = 5
 #: UTF-8 bytes of text that are named at once.
 BLOCK_BYTES = 4 << 20
-_LAST = np.iinfo(np.int64).max
+_FIRST, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Kinds of rows: a span or window to be judged, a repeat, a span left over, an anchor with several spans.
 OPEN, REPEAT, REST, MANY = range(4)
 
 
-def places(key: np.ndarray, kind: int, count: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A text's key (24 bits), a row's kind, its number of windows and the first one, in 64 bits."""
-    return (key << np.uint64(40) | np.uint64(kind << 36) | count.astype(np.uint64) << np.uint64(32) | start.astype(np.uint64)).view(np.int64)
-
-
-def unplaced(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    p = place.view(np.uint64)
-    return p >> np.uint64(40), (p >> np.uint64(36) & np.uint64(15)).astype(np.int64), (p >> np.uint64(32) & np.uint64(15)).astype(np.int64), (p & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def places(kind: int, count: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A row's kind, its number of windows and the first one, in 64 bits."""
+    return np.int64(kind << 36) | count.astype(np.int64) << np.int64(32) | start.astype(np.int64)
 
 
-def text_key(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, 7) & 0xFFFFFF
+def unplaced(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 36, place >> 32 & 15, place & 0xFFFFFFFF
 
 
 class Namer:
@@ -137,81 +140,119 @@ class Namer:
         )
 
 
-def _rows(a: np.ndarray, s: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, s, doc, place)], names=["a", "s", "doc", "place"])
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=list(_COLUMNS))
 
 
 def _doc_ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _runs(a: np.ndarray, s: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of sorted rows: where a changes, where a or s does, and which rows are other places than their run's first."""
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])
-    first = np.maximum.accumulate(np.where(new_s, np.arange(len(a)), 0))
-    return new_a, new_s, (doc != doc[first]) | (place != place[first])
+def _keys(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before in any column; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _first(new: np.ndarray) -> np.ndarray:
+    """Of each row the place of the last change at or before it."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
 def combined(a: np.ndarray, s: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, spans: bool) -> Iterator[pa.RecordBatch]:
     """A block's rows with what the block alone decides: its repeats, and, of spans, anchors with several."""
-    place = places(key, OPEN, count, start)
-    order = np.lexsort((place, doc, s.view(np.int64), a.view(np.int64)))
-    a, s, doc, place = a[order], s[order], doc[order], place[order]
-    new_a, new_s, later = _runs(a, s, doc, place)
-    own = np.flatnonzero(later)
-    yield _rows(mixed(a[own] + doc[own].view(np.uint64)), np.zeros(len(own), np.uint64), doc[own], place[own] | np.int64(REPEAT << 36))
+    place = places(OPEN, count, start)
+    a, s = a.view(np.int64), s.view(np.int64)
+    order = np.lexsort((place, key, doc, s, a))
+    a, s, doc, key, place = a[order], s[order], doc[order], key[order], place[order]
+    new_a = _changes(a)
+    new_s = new_a | _changes(s)
+    first = _first(new_s)
+    zeros = np.zeros(len(a), np.int64)
+
+    def known(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+        # decided rows are dealt by their document, not by what they repeat
+        spread = mixed(a[rows].view(np.uint64) + doc[rows].view(np.uint64) + key[rows].view(np.uint64))
+        return _rows(spread, zeros[: len(rows)], doc[rows], key[rows], place[rows] | np.int64(kind << 36))
+
+    yield known(np.flatnonzero((doc != doc[first]) | (key != key[first]) | (place != place[first])), REPEAT)
     keep = new_s
     if spans:
         group = np.cumsum(new_a) - 1
         many = (np.bincount(group[new_s]) > 1)[group]
-        rest = np.flatnonzero(new_s & many)
-        yield _rows(mixed(a[rest] + doc[rest].view(np.uint64)), np.zeros(len(rest), np.uint64), doc[rest], place[rest] | np.int64(REST << 36))
-        told = np.flatnonzero(new_a & many)
-        yield _rows(a[told], np.zeros(len(told), np.uint64), np.zeros(len(told), np.int64), np.full(len(told), MANY << 36, np.int64))
+        yield known(np.flatnonzero(new_s & many), REST)
+        told = np.flatnonzero(new_a & many)  # sorts before all spans of its anchor
+        yield _rows(a[told], np.full(len(told), _FIRST), zeros[: len(told)], zeros[: len(told)], np.full(len(told), MANY << 36, np.int64))
         keep = new_s & ~many
     own = np.flatnonzero(keep)
-    yield _rows(a[own], s[own], doc[own], place[own])
+    yield _rows(a[own], s[own], doc[own], key[own], place[own])
 
 
 def judged(rows: Iterator[pa.RecordBatch], spans: bool) -> Iterator[pa.RecordBatch]:
-    """(doc, place) of repeats and of spans left over, from rows sorted by a, s, doc, place.
+    """(doc, key, place) of repeats and of spans left over, from rows sorted by a, s, doc, key, place.
 
-    A group has a row for each block at most; only the group that a batch ends in is held.
+    What is carried from batch to batch is the last open row, the first row of its
+    run, and whether its anchor has several spans; of an anchor whose second span has
+    not come yet the first one waits.
     """
-    held = None
-
-    def decide(a: np.ndarray, s: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        _, kind, _, _ = unplaced(place)
-        new_a, new_s, later = _runs(a, s, doc, place)
-        is_open = kind == OPEN
-        repeat = is_open & later
-        known = (kind == REPEAT) | (kind == REST)
-        out_doc, out_place = [doc[known], doc[repeat]], [place[known], place[repeat] | np.int64(REPEAT << 36)]
-        if spans:
-            group = np.cumsum(new_a) - 1
-            many = np.bincount(group, weights=new_s & ~known) + 2 * np.bincount(group, weights=kind == MANY) > 1
-            rest = is_open & new_s & many[group]
-            out_doc.append(doc[rest])
-            out_place.append(place[rest] | np.int64(REST << 36))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place))], names=["doc", "place"])
-
+    last = None  # (a, s) of the last open or telling row
+    head = None  # (doc, key, place) of its run's first row
+    many, waiting = False, None
     for batch in rows:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "doc", "place")]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        end = int(np.searchsorted(now[0], now[0][-1]))
-        held = [x[end:] for x in now]
-        if end:
-            yield decide(*(x[:end] for x in now))
-    if held is not None:
-        yield decide(*held)
-
-
-_JUDGED = "doc long, place long"
-_ROWS = "a long, s long, doc long, place long"
+        a, s, doc, key, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS)
+        kind = unplaced(place)[0]
+        decided = (kind == REPEAT) | (kind == REST)
+        out = [(doc[decided], key[decided], place[decided])]
+        use = np.flatnonzero(~decided)
+        if len(use):
+            a, s, doc, key, place, kind = a[use], s[use], doc[use], key[use], place[use], kind[use]
+            new_a = _changes(a)
+            new_s = new_a | _changes(s)
+            if last is not None and last[0] == a[0]:
+                new_a[0] = False
+                new_s[0] = last[1] != s[0]
+            first = _first(new_s)
+            head_doc, head_key, head_place = doc[first], key[first], place[first]
+            if not new_s[0]:  # the run began in a batch before
+                end = int(np.argmax(new_s)) if new_s.any() else len(new_s)
+                head_doc[:end], head_key[:end], head_place[:end] = head
+            repeat = (kind == OPEN) & ((doc != head_doc) | (key != head_key) | (place != head_place))
+            out.append((doc[repeat], key[repeat], place[repeat] | np.int64(REPEAT << 36)))
+            if spans:
+                group = np.cumsum(new_a) - int(new_a[0])
+                runs = np.bincount(group, weights=new_s) + 2 * np.bincount(group, weights=kind == MANY)
+                if not new_a[0]:
+                    runs[0] += 2 if many else 1  # what came before in this anchor
+                several = runs > 1
+                if waiting is not None:
+                    if not new_a[0] and several[0]:
+                        out.append(tuple(np.array([x]) for x in waiting))
+                        waiting = None
+                    elif new_a[0] or len(several) > 1:
+                        waiting = None  # its anchor had no other span
+                rest = (kind == OPEN) & new_s & several[group]
+                out.append((doc[rest], key[rest], place[rest] | np.int64(REST << 36)))
+                many = bool(several[-1])
+                at = int(np.argmax(group == group[-1]))
+                if not many and new_a[at]:
+                    waiting = doc[at], key[at], place[at] | np.int64(REST << 36)
+            last = a[-1], s[-1]
+            head = head_doc[-1], head_key[-1], head_place[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc", "key", "place"])
+
+
+_COLUMNS = ("a", "s", "doc", "key", "place")
+_JUDGED = "doc long, key long, place long"
+_ROWS = "a long, s long, doc long, key long, place long"
 
 
 def _span_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,37 +262,32 @@ def _span_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, s, lo, count = namer.spans(h, ends)
         if len(a):
             at = np.searchsorted(ends, lo, "right") - 1
-            keys = np.array([text_key(t) for t in texts], np.uint64)
-            yield from combined(a, s, _doc_ids(batch.column("doc_id"))[at], keys[at], lo - ends[at], count, True)
+            yield from combined(a, s, _doc_ids(batch.column("doc_id"))[at], _keys(batch.column("key"))[at], lo - ends[at], count, True)
 
 
-def _places_of(column: pa.Array, kind: int, keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, windows) of the places of a kind that belong to the row's text."""
+def _places_of(column: pa.Array, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, windows) of the places of a kind."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())) if len(column) else np.zeros(0, np.int64)
-    if column.null_count:
-        lengths = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-        row = np.repeat(np.arange(len(column)), lengths)
-    key, kinds, count, start = unplaced(np.ascontiguousarray(flat, dtype=np.int64))
-    own = (kinds == kind) & (key == np.array(keys, np.uint64)[row])
-    return row[own], start[own], count[own]
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    kinds, count, start = unplaced(np.ascontiguousarray(flat, dtype=np.int64))
+    own = kinds == kind
+    return np.repeat(np.arange(len(column)), lengths)[own], start[own], count[own]
 
 
 def _window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     namer = Namer()
     for batch, texts in text_blocks(rows, "text", BLOCK_BYTES):
         h, ends = namer.names(texts)
-        keys = [text_key(t) for t in texts]
-        row, start, count = _places_of(batch.column("places"), REST, keys)
+        row, start, count = _places_of(batch.column("places"), REST)
         if len(row):
             w1, w2, at = namer.windows(h, ends[row] + start, count)
             row = np.repeat(row, count)
-            yield from combined(w1, w2, _doc_ids(batch.column("doc_id"))[row], np.array(keys, np.uint64)[row], at - ends[row], np.ones(len(row), np.int64), False)
+            yield from combined(w1, w2, _doc_ids(batch.column("doc_id"))[row], _keys(batch.column("key"))[row], at - ends[row], np.ones(len(row), np.int64), False)
 
 
 def _kept_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_blocks(rows, "text", BLOCK_BYTES):
-        row, start, count = _places_of(batch.column("places"), REPEAT, [text_key(t) for t in texts])
+        row, start, count = _places_of(batch.column("places"), REPEAT)
         order = np.argsort(row, kind="stable")
         row, start, count = row[order], start[order], count[order]
         cut = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -278,20 +314,22 @@ def _kept_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, with single spaces) of every row of ``docs``."""
-    texts = as_binary(docs, "doc_id")
-    # texts meet their places by doc_id twice; it's the same exchange
-    keyed = texts.withColumn("of", F.coalesce("doc_id", F.lit(_LAST)))
+    texts = as_binary(docs, "doc_id").withColumn("key", F.xxhash64("text"))
+    # texts meet their places by doc_id and key twice; it's the same exchange
+    keyed = texts.select("doc_id", "text", F.col("key").alias("of_key"), F.coalesce("doc_id", F.lit(_LAST)).alias("of"))
 
     def sorted_by_name(rows: DataFrame) -> DataFrame:
-        return rows.repartition("a").sortWithinPartitions("a", "s", "doc", "place")
+        return rows.repartition("a").sortWithinPartitions(*_COLUMNS)
 
     def with_places(found: DataFrame, how: str) -> DataFrame:
-        lists = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
-        return keyed.join(lists.hint("shuffle_hash"), F.col("of") == F.col("doc"), how).select("doc_id", "text", "places")
+        # a document has at most as many places as windows
+        lists = found.groupBy("doc", "key").agg(F.collect_list("place").alias("places"))
+        met = keyed.join(lists.hint("shuffle_hash"), (F.col("of") == F.col("doc")) & (F.col("of_key") == F.col("key")), how)
+        return met.select("doc_id", F.col("of_key").alias("key"), "text", "places")
 
     spans = sorted_by_name(texts.mapInArrow(_span_rows, _ROWS)).mapInArrow(lambda rows: judged(rows, True), _JUDGED)
     spans = written(spans, "substring-spans")
-    kind = F.shiftrightunsigned("place", 36).bitwiseAND(F.lit(15))
+    kind = F.shiftright("place", 36)
     rest = with_places(spans.filter(kind == REST), "inner").mapInArrow(_window_rows, _ROWS)
     windows = written(sorted_by_name(rest).mapInArrow(lambda rows: judged(rows, False), _JUDGED), "substring-windows")
     repeats = spans.filter(kind == REPEAT).unionByName(windows)
@@ -302,3 +340,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated windows, as counts and a digest."""
     found = substring_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM t),
+g AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER f AS seq, count(*) OVER f AS n
+      FROM w WHERE word <> '' WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, word, CASE WHEN n = 20 THEN row_number() OVER (PARTITION BY seq, n ORDER BY doc_id, i) ELSE 1 END > 1 AS again FROM g),
+c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""
+}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import substring_dedup
@@ -78,3 +79,51 @@ def test_same_id_with_other_texts(make, words):
 def test_blocks(make, words, monkeypatch, size):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", size)
     check(make, [(d, words(30, d % 4) + " " + words(25, d)) for d in range(20)])
+
+
+def test_rows_of_no_id_and_of_one_id_keep_their_own_words(make, words):
+    """Thousands of rows that an id doesn't tell apart: only what repeats goes, and of equal rows all agree."""
+    passage = words(40, 5)
+    texts = [words(30, 5000 + i) for i in range(1500)]
+    rows = [(None, t) for t in texts] + [(7, t + " " + words(25, 9000 + i)) for i, t in enumerate(texts[:300])]
+    rows += [(None, f"{words(21, 3)} {passage}"), (None, f"{passage} {words(22, 4)}"), (None, texts[0])]
+    got = substring_dedup.substring_dedup(make(rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    removed = {}
+    for r in got:
+        if r.doc_id is None:
+            removed.setdefault(r.n_words, []).append(r.n_removed)
+    assert sorted(removed[61] + removed[62]) == [0, 40]  # one of the two holds the passage first
+    assert removed[30].count(30) == 301 and len(removed[30]) == 1501 and set(removed[30]) == {0, 30}  # doc 7 comes before rows without an id
+    assert all(r.n_removed == 0 for r in got if r.doc_id == 7)
+
+
+def test_groups_are_judged_alike_over_all_batches():
+    rng = random.Random(8)
+    for spans in (True, False):
+        for _ in range(150):
+            rows = set()
+            for _ in range(rng.randint(1, 25)):
+                a = rng.randint(0, 3)
+                if spans and rng.random() < 0.15:
+                    rows.add((a, -(1 << 63), 0, 0, substring_dedup.MANY << 36))
+                elif rng.random() < 0.2:
+                    rows.add((a, 0, rng.randint(0, 3), rng.randint(0, 2), substring_dedup.REPEAT << 36 | 1 << 32 | rng.randint(0, 4)))
+                else:
+                    rows.add((a, rng.randint(-1, 1), rng.randint(0, 3), rng.randint(0, 2), 1 << 32 | rng.randint(0, 4)))
+            rows = sorted(rows)
+            want, kind = [], lambda r: r[4] >> 36
+            for r in rows:
+                if kind(r) == substring_dedup.REPEAT:
+                    want.append(r[2:])
+                if kind(r) == substring_dedup.OPEN:
+                    run = [x for x in rows if x[:2] == r[:2] and kind(x) == substring_dedup.OPEN]
+                    several = len({x[1] for x in rows if x[0] == r[0] and kind(x) == substring_dedup.OPEN}) > 1 or any(x[0] == r[0] and kind(x) == substring_dedup.MANY for x in rows)
+                    if r != run[0]:
+                        want.append((*r[2:4], r[4] | substring_dedup.REPEAT << 36))
+                    elif spans and several:
+                        want.append((*r[2:4], r[4] | substring_dedup.REST << 36))
+            size = rng.randint(1, 6)
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["a", "s", "doc", "key", "place"]) for i in range(0, len(rows), size)]
+            got = [tuple(r.values()) for b in substring_dedup.judged(iter(batches), spans) for r in b.to_pylist()]
+            assert sorted(got) == sorted(want)
