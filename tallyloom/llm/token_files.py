@@ -4,25 +4,32 @@ A file holds the ids of one run of documents in ascending doc_id order:
 
 * frames: each the zstandard frame of whole documents' ids, as little-endian
   unsigned 32-bit integers one after the other;
-* index frame: a zstandard skippable frame (magic 0x184D2A5E) with, for every
+* index frame: a zstandard skippable frame (magic 0x184D2A50) with, for every
   document, its doc_id (int64), tokens (uint32), frame (uint32) and the place of
-  its first id in that frame (uint32), as columns;
-* seek table: a skippable frame with an entry for each frame (compressed size,
-  size, crc32 of the ids, all uint32) and a footer: number of frames (uint32),
-  length of the index frame (uint64), a flag byte and the magic 0x8F92EAB1.
+  its first id in that frame (uint32);
+* seek table: that of the public seekable format, a skippable frame (magic
+  0x184D2A5E) with an entry for each frame before it (compressed size, size, low
+  32 bits of the XXH64 of the ids, all uint32; the index frame is the last entry,
+  of size 0) and a footer of 9 bytes: number of entries (uint32), a flag byte for
+  checksums and the magic 0x8F92EAB1.
 
 A reader takes the footer, then the tables, then decompresses the frames of the
 documents asked for and no others. Plain zstandard tools skip the tables and see
-the ids.
-
-Documents are dealt to tasks by ranges of doc_id, so no task sees the whole order;
-starts come from the counts of the files before, a row for each file. A file's
-name is drawn anew by each attempt of a task and only those of attempts that
-succeeded are in the manifest, so lost executors leave garbage but no wrong rows.
-
-Defined results: a null or empty text has the end id alone. Rows with equal doc_id
-are written side by side, in the order of their texts. A null doc_id comes first.
-Empty tables make no file. Other columns are not read.
+the ids; readers of the seekable format find the frames.
+
+Documents are dealt to tasks by ranges of doc_id and the first characters of the
+text, so neither one task sees the whole order nor do all rows of one doc_id, or of
+none, meet in one; starts come from the counts of the files before, a row for each
+file. A task closes a file at ``FILE_IDS`` ids or ``FILE_DOCS`` documents and begins
+another, so what it holds of a file (its index) is bounded. A file's name is drawn
+anew by each attempt of a task and only those of attempts that succeeded are in the
+manifest, so lost executors leave garbage but no wrong rows.
+
+Defined results: a null or empty text has the end id alone. The strings of added
+tokens in a text are those tokens, as the library does by default. Rows with equal
+doc_id are written side by side, in the order of their texts; rows alike have a
+place each. A null doc_id comes first. A very long text has a frame of its own.
+Empty tables make no file. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,10 +61,18 @@ VOCABULARY = "byte_bpe_50k.json"
 FRAME_IDS = 1 << 16
 #: Rows of a batch whose texts are Python strings at once.
 SLICE_ROWS = 250
-SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-_FOOTER = struct.Struct("<IQBI")
+#: Ids and documents at which a file is closed.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
+#: Characters of a text that tell ranges of one doc_id apart.
+RANGE_CHARS = 32
+INDEX, SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
+_FOOTER = struct.Struct("<IBI")
 _INDEX = np.dtype([("doc_id", "<i8"), ("tokens", "<u4"), ("frame", "<u4"), ("at", "<u4")])
-_SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("crc", "<u4")])
+_SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
+
+
+def _check(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 
 
 class FrameWriter:
@@ -64,7 +81,7 @@ class FrameWriter:
     def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 3):
         self.out, self.frame_ids = out, frame_ids
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.index: list[tuple[int, int, int, int]] = []
+        self._index = array("q")
         self.seeks: list[tuple[int, int, int]] = []
         self.held: list[np.ndarray] = []
         self.n = self.tokens = 0
@@ -72,26 +89,34 @@ class FrameWriter:
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         if self.n and self.n + len(ids) > self.frame_ids:
             self._frame()
-        self.index.append((doc_id, len(ids), len(self.seeks), self.n))
+        self._index.extend((doc_id, len(ids), len(self.seeks), self.n))
         self.held.append(ids)
         self.n += len(ids)
         self.tokens += len(ids)
 
+    @property
+    def n_docs(self) -> int:
+        return len(self._index) // 4
+
     def _frame(self) -> None:
         raw = np.concatenate(self.held).astype("<u4").tobytes()
         packed = self.packer.compress(raw)
         self.out.write(packed)
-        self.seeks.append((len(packed), len(raw), zlib.crc32(raw)))
+        self.seeks.append((len(packed), len(raw), _check(raw)))
         self.held, self.n = [], 0
 
     def close(self) -> None:
         if self.n:
             self._frame()
-        index = zstandard.ZstdCompressor(level=3).compress(np.array(self.index, _INDEX).tobytes())
-        self.out.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
+        rows = np.empty(self.n_docs, _INDEX)
+        for i, name in enumerate(_INDEX.names):
+            rows[name] = np.frombuffer(self._index, np.int64)[i::4]
+        index = zstandard.ZstdCompressor(level=3).compress(rows.tobytes())
+        self.out.write(struct.pack("<II", INDEX, len(index)) + index)
+        self.seeks.append((len(index) + 8, 0, _check(b"")))
         table = np.array(self.seeks, _SEEK).tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + _FOOTER.size) + table)
-        self.out.write(_FOOTER.pack(len(self.seeks), len(index) + 8, 0x80, SEEKABLE))
+        self.out.write(_FOOTER.pack(len(self.seeks), 0x80, SEEKABLE))
 
 
 class FrameReader:
@@ -101,33 +126,33 @@ class FrameReader:
         self.source = source
         size = source.size()
         source.seek(size - _FOOTER.size)
-        frames, index_length, _, magic = _FOOTER.unpack(source.read(_FOOTER.size))
+        frames, _, magic = _FOOTER.unpack(source.read(_FOOTER.size))
         if magic != SEEKABLE:
             raise ValueError("no seek table at the end of the file")
         table = frames * _SEEK.itemsize
-        source.seek(size - _FOOTER.size - table - 8 - index_length)
-        head = source.read(index_length + 8 + table)
-        packed = head[8:index_length]
-        raw = zstandard.ZstdDecompressor().decompressobj().decompress(packed)
+        source.seek(size - _FOOTER.size - table)
+        self.seeks = np.frombuffer(source.read(table), _SEEK)
+        index = int(self.seeks["packed"][-1])
+        source.seek(size - _FOOTER.size - table - 8 - index)
+        raw = zstandard.ZstdDecompressor().decompressobj().decompress(source.read(index)[8:])
         self.index = np.frombuffer(raw, _INDEX)
-        self.seeks = np.frombuffer(head[index_length + 8 :], _SEEK)
         self.starts = np.concatenate([[0], np.cumsum(self.seeks["packed"].astype(np.int64))])
         self.unpacker = zstandard.ZstdDecompressor()
         self._last: tuple[int, np.ndarray] | None = None
 
     def frame(self, number: int) -> np.ndarray:
         if self._last is None or self._last[0] != number:
-            packed, size, crc = (int(x) for x in self.seeks[number])
+            packed, size, check = (int(x) for x in self.seeks[number])
             self.source.seek(int(self.starts[number]))
             raw = self.unpacker.decompress(self.source.read(packed), max_output_size=size)
-            if zlib.crc32(raw) != crc:
+            if _check(raw) != check:
                 raise ValueError(f"frame {number} doesn't match its checksum")
             self._last = number, np.frombuffer(raw, "<u4")
         return self._last[1]
 
     def document(self, row: int) -> np.ndarray:
         _, tokens, frame, at = (int(x) for x in self.index[row])
-        return self.frame(frame)[at : at + tokens]
+        return self.frame(frame)[at : at + tokens] if tokens else np.zeros(0, "<u4")
 
     def find(self, doc_id: int) -> list[int]:
         """Rows of a document."""
@@ -147,29 +172,42 @@ class Encoder:
     Such a BPE never joins across pre-tokens, and one always begins at a space
     before a character that isn't white space. So a text is cut there, and each
     distinct cut goes through the library's model once; texts
-    repeat their words far more often than they bring new ones.
+    repeat their words far more often than they bring new ones. A text with the
+    string of an added token goes through the library whole.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         state = json.loads(self.whole.to_str())
         before = state["pre_tokenizer"] or {}
         self.by_cuts = state["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.added = regex.compile("|".join(regex.escape(t["content"]) for t in state["added_tokens"]) or r"(?!)")
         self.model, self.limit = self.whole.model, limit
         self.cuts: _Cuts = _Cuts(self)
+        self.marks = {c: self._pre_token(c) for c in ".,;:!?"}
+
+    def _pre_token(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def cut(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""
-        ids = [t.id for piece in _PIECES.findall(text) for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._pre_token, _PIECES.findall(text)))
+
+    def spaced(self, part: str) -> bytes:
+        """The ids of a space and ``part``."""
+        if part.isalpha():
+            return self._pre_token(" " + part)
+        if part[-1:] in self.marks and part[:-1].isalpha():  # letters and one mark are two pre-tokens
+            return self.cuts[part[:-1]] + self.marks[part[-1]]
+        return self.cut(" " + part)
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not self.by_cuts:
+        if not self.by_cuts or self.added.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.cuts) > self.limit:
             self.cuts.clear()
@@ -192,7 +230,7 @@ class _Cuts(dict):
         self.encoder = encoder
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.encoder.cut(" " + part)
+        ids = self[part] = self.encoder.spaced(part)
         return ids
 
 
@@ -207,10 +245,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end_id: int = END_ID, frame_ids: int = FRAME_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end_id: int = END_ID, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Writes the ids of every text and of the end id after it to files in folder ``where`` (a URI all executors share).
 
-    Returns the manifest, a row for each file: path, part (files in ascending
+    Returns the manifest, a row for each file: path, part and nth (files in ascending
     doc_id order), n_docs, n_tokens, n_bytes.
     """
     vocabulary = vocabulary or vocabulary_path()
@@ -220,40 +258,45 @@ def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        out = writer = part = None
         store, folder = pafs.FileSystem.from_uri(where)
-        name = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}.zst"
+        out = writer = part = None
+        done: list[dict] = []
+        schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("nth", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+
+        def close() -> None:
+            writer.close()
+            done.append({"path": name, "part": part, "nth": len(done), "n_docs": writer.n_docs, "n_tokens": writer.tokens, "n_bytes": out.tell()})
+            out.close()
+
         for batch in rows:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                part = batch.column("part")[0].as_py()
-                out = store.open_output_stream(name, compression=None)
-                writer = FrameWriter(out, frame_ids)
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part_rows = batch.slice(at, SLICE_ROWS)
+                part = part_rows.column("part")[0].as_py()
                 ids = part_rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_pylist()
                 for doc_id, text in zip(ids, part_rows.column("text").to_pylist(), strict=True):
+                    if writer is None:
+                        name = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}.zst"
+                        out = store.open_output_stream(name, compression=None)
+                        writer = FrameWriter(out, frame_ids)
                     writer.add(doc_id, np.append(encoder.ids(text), np.uint32(end_id)))
+                    if writer.tokens >= file_ids or writer.n_docs >= file_docs:
+                        close()
+                        writer = None
         if writer is not None:
-            writer.close()
-            size = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_pylist(
-                [{"path": name, "part": part, "n_docs": len(writer.index), "n_tokens": writer.tokens, "n_bytes": size}],
-                pa.schema([("path", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]),
-            )
+            close()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
 
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    return written(ordered.mapInArrow(run, "path string, part int, n_docs long, n_tokens long, n_bytes long"), "tokens-manifest")
+    ordered = ordered.repartitionByRange(files, "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    return written(ordered.mapInArrow(run, "path string, part int, nth int, n_docs long, n_tokens long, n_bytes long"), "tokens-manifest")
 
 
 def _placed(manifest: DataFrame) -> DataFrame:
     """path, start of each file, a task for each: rows this small would else be gathered in one."""
     # a row for each file; the running sum over them is one small task
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.select("path", before.alias("start")).repartition(max(1, manifest.count()))
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 from tallyloom.llm import token_files as tf
@@ -16,7 +17,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tf.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -40,6 +40,41 @@ def brute(rows, library):
     return out
 
 
+@pytest.mark.parametrize(("file_ids", "file_docs"), [(tf.FILE_IDS, tf.FILE_DOCS), (60, 10_000), (10**9, 2)])
+def test_files_closed_by_size(make, words, tmp_path, library, file_ids, file_docs):
+    rows = [(None if i % 3 == 0 else i % 7, words(i % 40, i)) for i in range(90)] + [(5, "<|endoftext|>"), (None, "<|endoftext|>")]
+    where = f"file://{tmp_path}/t"
+    manifest = tf.write_tokens(make(rows), where, frame_ids=50, file_ids=file_ids, file_docs=file_docs)
+    got = [tuple(r) for r in tf.digests(manifest, where).collect()]
+    assert sorted(got, key=lambda r: r[1]) == brute(rows, library)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.start, len(r.ids)) for r in tf.read_tokens(manifest, where).collect()) == sorted((r[0] is not None, r[0] or 0, r[1], r[2]) for r in got)
+    if file_docs == 2:
+        assert max(r.n_docs for r in manifest.collect()) == 2
+
+
+def seekable(raw):
+    """The data of a file in the public seekable format, by its definition alone."""
+    assert raw[-4:] == (0x8F92EAB1).to_bytes(4, "little") and raw[-5] == 0x80
+    n = int.from_bytes(raw[-9:-5], "little")
+    table = raw[len(raw) - 9 - 12 * n - 8 :]
+    assert table[:4] == (0x184D2A5E).to_bytes(4, "little") and int.from_bytes(table[4:8], "little") == 12 * n + 9
+    at, out = 0, b""
+    for i in range(n):
+        packed, size, check = (int.from_bytes(table[8 + 12 * i + 4 * k :][:4], "little") for k in range(3))
+        frame = raw[at : at + packed]
+        data = zstandard.ZstdDecompressor().decompress(frame, max_output_size=size) if size else b""
+        assert len(data) == size and check == xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
+        at, out = at + packed, out + data
+    assert at == len(raw) - len(table)
+    return out
+
+
+def test_the_public_seekable_format_can_be_read():
+    lists = [list(range(i % 13)) for i in range(60)] + [[], []]
+    assert np.frombuffer(seekable(a_file(lists)), "<u4").tolist() == [x for own in lists for x in own]
+    assert seekable(a_file([])) == b"" and tf.FrameReader(Watched(a_file([[], [5], []]))).document(2).tolist() == []
+
+
 def test_files_of_odd_rows(odd, spark, tmp_path, library):
     docs, rows = odd
     where = f"file://{tmp_path}/t"
@@ -92,7 +127,7 @@ def test_plain_tools_see_the_ids_and_damage_is_noticed():
     plain = b""
     rest = raw
     while rest:  # frame by frame; skippable frames give nothing
-        if rest[:4] == b"\x5e\x2a\x4d\x18":
+        if rest[1:4] == b"\x2a\x4d\x18":
             rest = rest[8 + int.from_bytes(rest[4:8], "little") :]
             continue
         d = zstandard.ZstdDecompressor().decompressobj()
@@ -101,7 +136,7 @@ def test_plain_tools_see_the_ids_and_damage_is_noticed():
     assert np.frombuffer(plain, "<u4").tolist() == [x for own in lists for x in own]
     reader = tf.FrameReader(Watched(raw))
     reader.seeks = reader.seeks.copy()
-    reader.seeks["crc"][0] ^= 1
+    reader.seeks["check"][0] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         reader.document(0)
     with pytest.raises(ValueError, match="seek table"):
