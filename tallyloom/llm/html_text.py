@@ -1,17 +1,30 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines: its blocks of text, between tags that end a block. Lines
-inside menus, footers, forms, adverts, comments and other furniture count as
-empty, as do lines that are mostly link text. The lengths of the lines that are
-left are summed over windows of neighbouring lines. Where that sum surges from
-nothing the text begins, and where it dives back to nothing it ends; all lines in
-between that aren't furniture are kept. Of several such stretches, those inside
-the page's article or main element are taken where it has one, and otherwise the
-stretch with the most text, with those near to it in density.
+A page is cut into lines: its blocks of text, between tags that end a block. A line's
+length is what the distribution looks at, and markup is looked at for lengths alone:
+
+* inside menus, footers, forms, adverts, comments and other furniture it is nothing;
+* of a line that is mostly link text only a character counts as nothing, so menus
+  without a name are flat;
+* inside the page's article or main element every character counts as ``SURGE``, and
+  outside of it, on such a page, or in an element of a doubtful class, as a quarter;
+* a heading's characters count fourfold.
+
+Where a line and the next lie in different elements, neither inside the other nor
+alike in name and class, and where the article ends, empty lines are put between
+them. Lengths are summed over
+windows of ``BLOCK_LINES`` lines. The text surges where a sum reaches ``SURGE`` and
+dives where it returns to nothing, and lines between the last rise from nothing and
+the next dive are kept if the text surges between them. Kept as well is a line that
+lies beside kept ones in the same element: a closing line after a menu, a paragraph
+that is one reference link. Nothing else is dropped, whatever its share of the page.
 
 Defined results: a null or empty page has no text. Text without any tag is one
-block. A page that is furniture alone has no text. Repeated rows give a row each.
-Unknown character references stay as written. Other columns are not read.
+block and is kept whatever its length, as are all blocks of a page on which nothing
+surges. A page that is furniture alone has no text. Equal blocks of a page stay as
+often as they stand there; repeated rows give a row each. Very long pages are read
+whole. An empty table gives no rows. Unknown character references stay as written.
+Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lines in a window.
+#: Lines in a window, and empty lines between elements that have nothing to do with each other.
 BLOCK_LINES = 3
-#: Characters in a window at which text surges, on pages without an article element.
+#: Length of a window at which text surges.
 SURGE = 80
+#: Weight of a character outside of the article, where there is one, or in an element of a doubtful class; and in a heading.
+DOUBT, HEADING = 0.25, 4.0
 #: Share of a line's characters in links from which it counts as a menu's.
 LINK_SHARE = 0.6
 
@@ -54,6 +70,7 @@ _NAMED = re.compile(r"""\b(class|id|role|data-component|data-testid|aria-label|i
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+# fixed values: words by which classes and ids name furniture; words around them that still name it (comment-list) and that don't (has-sidebar)
 _NOT_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promos promotion promoted"
     " nav navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toc tabs toolbar topbar"
@@ -64,13 +81,37 @@ _NOT_TEXT = frozenset(
     " newsletter subscribe subscription signup signin login register search searchbox searchform form share sharing social socials follow"
     " skip hidden sr print noprint tags taglist".split()
 )
-#: Words that, with one of the above, name the text itself (article-header, post-comments-enabled).
+_STATES = frozenset("has have no not with without is are show hide js open closed enabled disabled tag category type format status post hentry".split())
+_AROUND = frozenset(
+    "list lists box boxes block blocks container wrapper wrap section area slot unit inner outer item items link links bar row column col left right top bottom main content"
+    " signup form banner posts articles stories icons buttons button group panel header footer title heading text message body thread template only reader".split()
+)
+_IN_ARTICLES = frozenset("header foot footer banner share legal form print alert popular search discussion notice copyright register".split())
+_ARTICLE_WORDS = frozenset("article post entry story content".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose lines belong together.
+_CONTAINERS = frozenset("html body div section article main nav aside header footer form ul ol dl table figure blockquote details fieldset center".split())
 _SPACE = re.compile(r"\s+")
 
 
-#: How an element is known for furniture: by a word within a class or id, by a whole class or id, by its tag, role or being hidden.
-_WITHIN, _WHOLE, _SURE = 1, 2, 3
+#: How an element is known for furniture: not at all but by a word that raises doubt, by a compound class or id, by a whole one, by its tag, role or being hidden.
+_DOUBT, _WITHIN, _WHOLE, _SURE = range(1, 5)
+
+
+def _named(one: str) -> int:
+    """What a class or id says of its element."""
+    low = one.lower()
+    if low in _NOT_TEXT:
+        return _WHOLE
+    words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
+    pairs = ["".join(two) for two in zip(words, words[1:], strict=False)]
+    found = _NOT_TEXT.intersection([*words, *pairs])
+    if not found or found <= _IN_ARTICLES and _ARTICLE_WORDS & set(words):
+        return 0
+    if words[0] not in _STATES and (words[-1] in _NOT_TEXT or pairs[-1:] and pairs[-1] in _NOT_TEXT or words[-1] in _AROUND or words[-1].isdigit()):
+        return _WITHIN
+    return _DOUBT
 
 
 def _furniture(name: str, rest: str, inside_main: bool) -> int:
@@ -91,16 +132,11 @@ def _furniture(name: str, rest: str, inside_main: bool) -> int:
         if key == "role":
             if value.strip().lower() in _ROLES:
                 return _SURE
-            continue
-        if key == "itemprop":
-            if value.strip().lower() in ("comment", "author"):
-                return _SURE if value.strip().lower() == "comment" else most
-            continue
-        for one in value.split():
-            words = _WORDS.findall(_CAMEL.sub(" ", one).lower())
-            found = _NOT_TEXT.intersection([*words, *map("".join, zip(words, words[1:], strict=False))])
-            if found and not (found <= {"header", "foot", "banner", "share", "legal", "form", "print", "alert", "popular", "search"} and {"article", "post", "entry", "story", "content"} & set(words)):
-                most = max(most, _WHOLE if one.lower() in _NOT_TEXT else _WITHIN)
+        elif key == "itemprop":
+            if value.strip().lower() == "comment":
+                return _SURE
+        else:
+            most = max([most, *map(_named, value.split())])
     return most
 
 
@@ -111,46 +147,65 @@ class _Article:
         self.opened, self.known, self.size = opened, known, 0
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, in furniture, in an article or main element) of each block with text.
+class Line(NamedTuple):
+    """A block with text: characters of it in links, how it is known for furniture, whether an article or main element or a heading holds it, its container."""
+
+    text: str
+    linked: int
+    known: int
+    main: bool
+    heading: bool
+    container: int
+
+
+class Page(NamedTuple):
+    """The lines of a page, and of each container the one around it (-1: none) and its name with its classes."""
+
+    lines: list[Line]
+    around: list[int]
+    names: list[str]
+
+
+def read(html: str) -> Page:
+    """The lines of a page.
 
     The article with the most text isn't taken for furniture by words within classes
     or ids of it or of what is around it; nor by any, where no other article has text.
     """
-    out, articles = _read(html, frozenset())
+    page, articles = _read(html, frozenset())
     best = max(articles, key=lambda a: (a.known < _SURE, a.size), default=None)
-    if best and best.size and (best.known == _WITHIN or best.known == _WHOLE and not any(m and not f for _, _, f, m in out)):
-        out, _ = _read(html, frozenset(best.opened))
-    return out
+    if best and best.size and (best.known == _WITHIN or best.known == _WHOLE and not any(x.main and x.known < _WITHIN for x in page.lines)):
+        page, _ = _read(html, frozenset(best.opened))
+    return page
 
 
-def _read(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool, bool]], list[_Article]]:
-    """The lines, with no class or id looked at of elements that begin at ``spared``; and the articles."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in furniture, in the article
+def _read(html: str, spared: frozenset[int]) -> tuple[Page, list[_Article]]:
+    """The page, with no class or id looked at of elements that begin at ``spared``; and its articles."""
+    page = Page([], [-1], [""])
+    stack: list[tuple[str, int, bool, bool, int]] = []  # open elements: name, what they and those around are known by, in the article, in a heading, container
     around: list[tuple[int, int, _Article | None, bool]] = []  # where they begin, what they are known by, their article, in furniture inside it
     articles: list[_Article] = []
     pieces: list[str] = []
-    linked = links = 0
-    furniture = main = False
+    linked = links = known_by = container = 0
+    main = heading = False
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = _SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                out.append((text, linked, furniture, main))
+                page.lines.append(Line(text, linked, known_by, main, heading, container))
                 if around and around[-1][2] and not around[-1][3]:
                     around[-1][2].size += len(text)
             pieces.clear()
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal furniture, main, links
+        nonlocal known_by, main, heading, container, links
         for name, *_ in stack[at:]:
             links -= name == "a"
         del stack[at:], around[at:]
-        furniture, main = stack[-1][1:] if stack else (False, False)
+        known_by, main, heading, container = stack[-1][1:] if stack else (0, False, False, 0)
 
     def add(text: str) -> None:
         nonlocal linked
@@ -206,18 +261,50 @@ def _read(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool,
             article, inner = _Article([*(a[0] for a in around), tag.start()], max(outer, known)), False
             articles.append(article)
         else:
-            inner = inner or known > 0
+            inner = inner or known >= _WITHIN
         around.append((tag.start(), max(outer, known), article, inner))
-        stack.append((name, furniture or known > 0, main or name in _MAIN or 'role="main"' in rest))
-        furniture, main = stack[-1][1:]
+        if name in _CONTAINERS:
+            page.around.append(container)
+            page.names.append(" ".join([name, *(v or w or x for key, v, w, x in _NAMED.findall(rest) if key.lower() == "class")]))
+            container = len(page.around) - 1
+        main = main or name in _MAIN or 'role="main"' in rest
+        heading = heading or name in _HEADINGS
+        known_by = max(known_by, known)
+        stack.append((name, known_by, main, heading, container))
         links += name == "a"
     if at < len(html):
         add(html[at:])
     flush()
-    return out, articles
+    return page, articles
+
+
+def lengths(page: Page) -> list[float]:
+    """What each line counts."""
+    has_main = any(x.main and x.known < _WITHIN for x in page.lines)
+    out = []
+    for x in page.lines:
+        if x.known >= _WITHIN:
+            out.append(0.0)
+        elif x.main:
+            out.append(float(SURGE * len(x.text)))
+        elif x.linked > LINK_SHARE * len(x.text):
+            out.append(0.0)
+        else:
+            out.append((len(x.text) - x.linked) * (HEADING if x.heading else 1.0) * (DOUBT if has_main or x.known == _DOUBT else 1.0))
+    return out
+
+
+def _parted(page: Page, a: int, b: int) -> bool:
+    """Whether two containers have nothing to do with each other."""
+    for x, y in ((a, b), (b, a)):
+        while x > y:  # containers are numbered as they open
+            x = page.around[x]
+        if x == y:
+            return False
+    return page.around[a] != page.around[b] or page.names[a] != page.names[b]
 
 
-def stretches(lengths: list[int], surge: int, window: int = BLOCK_LINES) -> list[tuple[int, int]]:
+def stretches(lengths: list[float], surge: float, window: int = BLOCK_LINES) -> list[tuple[int, int]]:
     """From surge to dive: where the sums of line lengths over windows leave nothing, by ``surge`` once, and return to it."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     found = []
@@ -236,21 +323,26 @@ def stretches(lengths: list[int], surge: int, window: int = BLOCK_LINES) -> list
     return found
 
 
+def kept_lines(page: Page, counts: list[float]) -> list[int]:
+    """The numbers of the lines between surge and dive, and of those beside them."""
+    spread, line_of = [], []
+    for i, x in enumerate(page.lines):
+        before = page.lines[i - 1] if i else x
+        if x.main != before.main or _parted(page, before.container, x.container):
+            spread += [0.0] * BLOCK_LINES
+            line_of += [-1] * BLOCK_LINES
+        spread.append(counts[i])
+        line_of.append(i)
+    spans = stretches(spread, SURGE) or stretches(spread, 0)
+    text = {line_of[j] for a, b in spans for j in range(a, b) if spread[j]}
+    beside = {page.lines[i].container for i in text}
+    return [i for i, x in enumerate(page.lines) if i in text or x.known < _WITHIN and x.container in beside]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of a page's main text, joined by one line feed."""
-    found = lines(html or "")
-    has_main = any(m and not f for _, _, f, m in found)
-    lengths = [0 if f or (has_main and not m) or (not has_main and n_links > LINK_SHARE * len(t)) else len(t) for t, n_links, f, m in found]
-    if has_main:
-        spans = stretches(lengths, 1)
-    else:
-        spans = stretches(lengths, SURGE) or stretches(lengths, 1)
-        if spans:
-            sizes = [sum(lengths[a:b]) for a, b in spans]
-            best = max(range(len(spans)), key=sizes.__getitem__)
-            dense = max(lengths[spans[best][0] : spans[best][1]])
-            spans = [s for i, s in enumerate(spans) if i == best or sizes[i] * 4 >= sizes[best] or max(lengths[s[0] : s[1]]) * 2 >= dense]
-    return "\n".join(found[i][0] for a, b in spans for i in range(a, b) if lengths[i])
+    page = read(html or "")
+    return "\n".join(page.lines[i].text for i in kept_lines(page, lengths(page)))
 
 
 def extract(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:

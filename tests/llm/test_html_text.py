@@ -1,8 +1,10 @@
+import random
 from html import escape
 
 import pytest
 
-from tallyloom.llm.html_text import extract, lines, main_text, stretches
+from tallyloom.llm import html_text
+from tallyloom.llm.html_text import BLOCK_LINES, SURGE, extract, lengths, main_text, read, stretches
 
 
 @pytest.mark.parametrize(
@@ -42,7 +44,7 @@ def test_broken_markup_and_long_pages():
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
     body = "".join(f"<p>paragraph {i} &amp; words</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>") == "\n".join(f"paragraph {i} & words" for i in range(20_000))
-    assert [t for t, *_ in lines("<p>a<p>b</i></p>")] == ["a", "b"]
+    assert [x.text for x in read("<p>a<p>b</i></p>").lines] == ["a", "b"]
 
 
 def test_table(spark):
@@ -72,3 +74,64 @@ TEXT = "A sentence of the article, which has some more words than others. "
 )
 def test_an_article_is_no_furniture_by_a_word_in_a_class(html, text):
     assert main_text(html.replace("{}", f"<p>{TEXT}</p>")) == text.replace("{}", TEXT.strip())
+
+
+LONG = "A long sentence of the text that the page is about, with enough of words in it to surge by itself, as one says."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # an unnamed advert, notice and footer lie beside an article; a closing line and a reference link belong to the text
+        ("<body><div>Buy it now, cheap and good.</div><article><p>{}</p></article><div>All of it is ours.</div></body>", "{}"),
+        ("<div><p>{}</p><p>{}</p></div><div class='n'>A short notice.</div>", "{}\n{}"),
+        ("<p>{}</p><div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div><p>So it ends.</p>", "{}\nSo it ends."),
+        ("<div><p>{}</p><p><a>The reference</a></p></div><div><a>Home</a></div>", "{}\nThe reference"),
+        ("<article><p>{}</p><section class='legal-analysis'><p>x</p></section></article>", "{}\nx"),
+        ("<article><p>{}</p><aside>1</aside><aside>2</aside><aside>3</aside><aside>4</aside><p>End.</p></article>", "{}\nEnd."),
+        ("<article><p>{}</p><ol class='comment-list'><li>{}</li></ol><div class='site-footer'>{}</div></article>", "{}"),
+        ("<div class='col'><p>{}</p></div><div class='col'><p>So.</p></div><div class='rest'><p>No.</p></div>", "{}\nSo."),
+        ("<div><h2>A heading of its own</h2></div><div class='b'><p>{}</p></div>", "A heading of its own\n{}"),
+        ("<div><p>short</p></div>", "short"),
+        ("<div><a>only</a> <a>links</a></div>", ""),
+    ],
+)
+def test_hand_labelled_pages(html, text):
+    assert main_text(html.replace("{}", LONG)) == text.replace("{}", LONG)
+
+
+def test_without_windows_other_text_would_stay(monkeypatch):
+    html = f"<body><div>Buy it now, cheap and good.</div><article><p>{LONG}</p></article><div>All of it is ours.</div></body>"
+    assert main_text(html) == LONG
+    monkeypatch.setattr(html_text, "stretches", lambda counts, surge: [(0, len(counts))])
+    assert main_text(html) == f"Buy it now, cheap and good.\n{LONG}\nAll of it is ours."
+
+
+def brute_stretches(counts, surge):
+    """Groups of lines of which none is more than BLOCK_LINES from the next, if some window from one of their lines on reaches ``surge``."""
+    groups = []
+    for i, n in enumerate(counts):
+        if n:
+            if groups and i - groups[-1][-1] <= BLOCK_LINES:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+    return [(g[0], g[-1] + 1) for g in groups if any(sum(counts[i : i + BLOCK_LINES]) >= surge for i in range(g[0], g[-1] + 1))]
+
+
+def test_stretches_by_grouping_lines():
+    rng = random.Random(2)
+    for _ in range(3000):
+        counts = [rng.choice([0, 0, 0, 1, 20, 50, 90]) for _ in range(rng.randint(0, 25))]
+        for surge in (0, 1, SURGE):
+            assert stretches(counts, surge) == brute_stretches(counts, surge), counts
+
+
+def test_the_whole_table_by_grouping_lines(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages, "html", "page_id").collect()}
+    monkeypatch.setattr(html_text, "stretches", brute_stretches)
+    monkeypatch.setattr(html_text, "_named", lambda one: 0)  # and no class is needed to tell that table's adverts
+    for r in pages.collect():
+        page = read(r.html)
+        assert got[r.page_id] == main_text(r.html) and len(lengths(page)) > len(got[r.page_id].split("\n"))
