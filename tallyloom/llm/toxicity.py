@@ -1,23 +1,33 @@
 """Toxicity scores by weak supervision.
 
 Many voters look at a text: lexicons (seed words by language, and words and word
-beginnings mined from labelled texts) and patterns (shouting, runs of exclamation
-marks, insults in the second person). A generative label model estimates, by
-expectation maximisation over the voters' votes, how accurate each voter is and,
-from what remains between pairs of voters given the label, how correlated they
-are; a voter counts less the more others repeat it. The label model's posterior is
-the target of a linear classifier, which scores every whole text.
-
-What is learned comes from at most ``SAMPLE_ROWS`` labelled rows (those of least
-doc_id hash, so a fixed sample for fixed rows) of each label whose crc32 of doc_id,
-mod 4, isn't 2. A row weighs as many labelled rows as it stands for, so where one
-label is cut to its sample and the other isn't, shares stay those of all rows.
-Near copies in the sample count once. Scores use the text alone.
+beginnings that labelled texts show to tell most) and patterns (shouting, runs of
+exclamation marks, insults in the second person). A generative label model estimates
+how accurate each voter is by expectation maximisation over the votes on labelled
+and unlabelled rows: a known label takes the place of its row's posterior where
+voters' rates are counted, which calibrates them, and nowhere else. From what
+remains between pairs of voters given the label it estimates their correlations, all
+of them jointly: votes given the label are taken for normal with one covariance, so
+what voters repeat of each other counts once. (With no label at all voters are taken
+one by one, and each counts less the more others repeat it.) The label model's posterior, which is of
+the votes alone, labelled row or not, is the target of a linear classifier, which
+scores every whole text.
+
+What is learned comes from at most ``SAMPLE_ROWS`` labelled rows of each label and
+``UNLABELLED_ROWS`` others (those of least doc_id hash, so a fixed sample for fixed
+rows) whose crc32 of doc_id, mod 4, isn't 2. A row weighs as many rows as it stands
+for, so where a sample is cut and another isn't, shares stay those of all rows; in
+the label model unlabelled rows together weigh ``UNLABELLED_SHARE`` of the labelled
+ones at most.
+Near copies in the sample count once: of those the row of least doc_id, then text.
+Scores use the text alone.
 
 Defined results: a null text is empty; empty texts get the score of a text without
-any feature. Rows repeated give a row each. With no labelled row the seed voters
-alone label a sample of the documents. Null labels are no labels. Documents may
-have any further columns.
+any feature. Rows repeated give a row each, of equal scores. Of several labels of
+one document the toxic one holds. With no labelled row the seed voters alone label
+a sample of the documents. Null labels are no labels. Very long texts are read
+whole. An empty table of documents gives a model of the seed words and no rows.
+Documents may have any further columns.
 """
 
 from __future__ import annotations
@@ -38,16 +48,17 @@ from .common import documents, table, text_blocks, written
 
 #: Labelled rows that are looked at, at most, of each label.
 SAMPLE_ROWS = 10_000
+#: Rows without a label that are looked at, at most.
+UNLABELLED_ROWS = 10_000
 #: Mined features, at most.
 FEATURES = 3_000
 #: Texts of the sample that must have a feature.
 LEAST_TEXTS = 4
 #: Mined voters of the label model.
-VOTERS = 48
+VOTERS = 400
+#: Weight of all unlabelled rows in the label model, by that of the labelled ones, at most; and what its correlations shrink by.
+UNLABELLED_SHARE, SHRINK = 0.3, 0.1
 THRESHOLD = 0.3
-#: Right labels for a wrong one, as the label model takes them. This and the classifier's decay have the least log loss of ten
-#: settings (99, 999; 1e-5 to 2e-4) in four-fold cross-validation on the rows to learn from; held-out rows had no part in it.
-LABEL_ODDS = 999.0
 
 SEEDS = {
     "en": "idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb imbecile retard bastard bitch asshole jerk filth vermin hate kill die ugly fool",
@@ -94,22 +105,29 @@ def _near_key(text: str, width: int = 5) -> int:
     return min(xxhash.xxh64_intdigest(" ".join(words[i : i + width])) for i in range(len(words) - width + 1)) >> 1
 
 
+def _least(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the rows of ``ids`` (column of), those of least hash."""
+    return ids.orderBy(F.hash("of"), "of").limit(most)
+
+
 def sample(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """text, toxic, weight of the rows to learn from, stored; near copies once."""
+    """doc_id, text, toxic (null: not known), weight, near of the rows to learn from, stored; near copies once."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    if labels is not None:
-        known = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND of IS NOT NULL")
-        known = known.filter(~held_out(F.col("of"))).groupBy("of").agg(F.max("toxic").alias("toxic"))
-        known = written(known.join(texts.select("doc_id").distinct(), F.col("of") == F.col("doc_id"), "left_semi"), "toxicity-known")
-        there = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-        weigh = F.lit(max(there.get(0, 0) / SAMPLE_ROWS, 1.0))
-        weigh = F.when(F.col("toxic") == 1, F.lit(max(there.get(1, 0) / SAMPLE_ROWS, 1.0))).otherwise(weigh)
-        order = F.hash("of")
-        picked = known.filter("toxic = 1").orderBy(order, "of").limit(SAMPLE_ROWS).unionByName(known.filter("toxic = 0").orderBy(order, "of").limit(SAMPLE_ROWS))
-        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic", weigh.alias("weight"))
+    ids = texts.select(F.col("doc_id").alias("of")).distinct()
+    unknown = F.lit(None).cast("int").alias("toxic")
+    if labels is None:
+        all_ids = ids.select("of", unknown)
     else:
-        picked = texts.select(F.col("doc_id").alias("of")).distinct().orderBy(F.hash("of"), "of").limit(SAMPLE_ROWS)
-        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", F.lit(None).cast("int").alias("toxic"), F.lit(1.0).alias("weight"))
+        known = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND of IS NOT NULL")
+        all_ids = ids.join(known.groupBy("of").agg(F.max("toxic").alias("toxic")), "of", "left")
+    all_ids = written(all_ids, "toxicity-ids")
+    there = {r.toxic: r["count"] for r in all_ids.groupBy("toxic").count().collect()}
+    parts = [
+        _least(all_ids.filter(F.col("toxic").eqNullSafe(F.lit(label))), most).withColumn("weight", F.lit(max(there.get(label, 0) / most, 1.0)))
+        for label, most in ((0, SAMPLE_ROWS), (1, SAMPLE_ROWS), (None, UNLABELLED_ROWS))
+    ]
+    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])  # as many rows as the three bounds allow
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic", "weight")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,55 +196,62 @@ class Reader:
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row; each voter's rates of voting given label 0 and 1; and their correlations.
+    """Posterior of label 1 for each row by its votes; each voter's rates of voting given label 0 and 1; and their correlations.
 
     votes: rows by voters, 1 where a voter calls the text toxic. labels: 0, 1 or -1
-    (unknown); a known label is one more voter, right in all but one of LABEL_ODDS cases.
+    (unknown); a known label stands for the row's posterior where rates are counted.
     weights: the rows that each row stands for, one if not given.
     """
     n, m = votes.shape
-    v = votes.astype(np.float64)
-    c = np.ones(n) if weights is None else weights
+    v = votes.astype(np.float32)
+    c = np.ones(n) if weights is None else weights.astype(np.float64)
     known = labels >= 0
-    seen = np.where(known, np.where(labels == 1, math.log(LABEL_ODDS), -math.log(LABEL_ODDS)), 0.0)
-    prior = 0.1
-    p = np.where(known, np.where(labels == 1, 0.99, 0.01), np.clip(0.05 + 0.9 * (v.sum(axis=1) > 0), 0.05, 0.9))
-    weight = np.ones(m)
-    rates = np.zeros((2, m))
-    corr = np.eye(m)
+    if known.any() and not known.all():
+        c = np.where(known, c, c * min(1.0, UNLABELLED_SHARE * c[known].sum() / c[~known].sum()))
+    p = np.full(n, 0.5) if known.any() else np.clip(0.05 + 0.9 * (v.sum(axis=1) > 0), 0.05, 0.9)
+    counted = c * known if known.any() else c  # the first rates are of the labelled rows
+    rates, within = np.zeros((2, m)), np.eye(m)
     for step in range(rounds):
-        on, off = (c * p).sum() + 1e-9, (c * (1 - p)).sum() + 1e-9
-        rates[1] = ((c * p) @ v + 0.5) / (on + 1)
-        rates[0] = ((c * (1 - p)) @ v + 0.5) / (off + 1)
-        prior = min(max(on / (on + off), 0.001), 0.999)
-        if step in (5, 15):  # what voters share beyond the label
-            left = v - (p[:, None] * rates[1] + (1 - p)[:, None] * rates[0])
-            cov = left.T @ (c[:, None] * left) / c.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(corr, 1)
-            weight = 1 / np.where(corr > 0.1, corr, 0).sum(axis=1)
-        ratio = v @ (weight * np.log(rates[1] / rates[0])) + (1 - v) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
-        new = 1 / (1 + np.exp(-np.clip(ratio + seen + math.log(prior / (1 - prior)), -30, 30)))
-        if np.abs(new - p).max() < 1e-6 and step > 15:
+        q = np.where(known, labels == 1, p)
+        size = np.array([(counted * (1 - q)).sum(), (counted * q).sum()]) + 1e-9
+        rates = np.stack([(counted * (1 - q)) @ v, (counted * q) @ v]) / size[:, None]
+        within = (v.T @ (v * counted[:, None].astype(np.float32)) - (rates.T * size) @ rates) / size.sum()
+        spread = np.maximum(np.diag(within), 1e-9)
+        pooled = (1 - SHRINK) * within + np.diag(SHRINK * spread + 1e-3)
+        prior = np.clip(size[1] / size.sum(), 0.001, 0.999)
+        if known.any():
+            weight = np.linalg.solve(pooled, rates[1] - rates[0])
+            bias = -0.5 * float((rates[0] + rates[1]) @ weight)
+        else:  # nothing holds the labels' place: each voter by itself, and less the more others repeat it
+            near = within / np.sqrt(np.outer(spread, spread))
+            np.fill_diagonal(near, 1)
+            alone = 1 / np.where(near > 0.1, near, 0).sum(axis=1) if step > 4 else np.ones(m)
+            sure = (rates * size[:, None] + 0.5) / (size[:, None] + 1)
+            no = alone * np.log((1 - sure[1]) / (1 - sure[0]))
+            weight, bias = alone * np.log(sure[1] / sure[0]) - no, float(no.sum())
+        new = 1 / (1 + np.exp(-np.clip(v @ weight + bias + math.log(prior / (1 - prior)), -30, 30)))
+        counted = c
+        moved, p = np.abs(new - p).max(initial=0), new
+        if moved < 1e-4 and step > 5:
             break
-        p = new
-    return p, rates, corr
-
-
-def linear(rows: list[list[int]], width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-4, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on presence features and soft targets; counts: the rows that each stands for."""
-    c = np.ones(len(rows)) if counts is None else counts
-    share = float((c * targets).sum() / c.sum()) if len(rows) else 0.0
-    lengths = np.array([len(r) for r in rows])
-    at = np.concatenate([np.array(r, np.int64) for r in rows if r] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    w, b = np.zeros(width), math.log(max(share, 1e-4) / max(1 - share, 1e-4)) if len(rows) else -3.0
+    sd = np.sqrt(np.maximum(np.diag(within), 1e-9))
+    return p, rates, within / np.outer(sd, sd)
+
+
+def linear(at: np.ndarray, row: np.ndarray, width: int, targets: np.ndarray, rounds: int = 400, decay: float = 2e-4, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on presence features and soft targets.
+
+    at, row: a feature's number and its row, for each feature of each row; counts: the rows that each stands for.
+    """
+    n = len(targets)
+    c = np.ones(n) if counts is None else counts
+    share = float((c * targets).sum() / c.sum()) if n else 0.0
+    w, b = np.zeros(width), math.log(max(share, 1e-4) / max(1 - share, 1e-4)) if n else -3.0
     mean, var = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[at], minlength=len(rows)) + b
+        z = np.bincount(row, weights=w[at], minlength=n) + b
         error = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets)
-        grad = np.append(np.bincount(at, weights=error[row], minlength=width) / max(c.sum(), 1) + decay * w, error.sum() / c.sum() if len(rows) else 0)
+        grad = np.append(np.bincount(at, weights=error[row], minlength=width) / max(c.sum(), 1) + decay * w, error.sum() / c.sum() if n else 0)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -254,28 +279,31 @@ def train(docs: DataFrame, labels: DataFrame | None) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [reader.read(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), batch.column("toxic"), batch.column("weight")], names=["found", "toxic", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int32())), batch.column("toxic"), batch.column("weight")], names=["doc_id", "found", "toxic", "weight"])
 
-    # the sample's rows are bounded by its size, not by the corpus
-    got = rows.select("text", "toxic", "weight").mapInArrow(read, "found array<int>, toxic int, weight double").collect()
-    got = sorted((list(r.found), -1 if r.toxic is None else r.toxic, r.weight) for r in got)
-    found, known, counts = [g[0] for g in got], np.array([g[1] for g in got], np.int64), np.array([g[2] for g in got], np.float64)
-    if not found:
+    # the sample's rows are bounded by its size, not by the corpus; they come as flat arrays
+    got = rows.select("doc_id", "text", "toxic", "weight").mapInArrow(read, "doc_id long, found array<int>, toxic int, weight double").toArrow().sort_by([("doc_id", "ascending"), ("weight", "ascending")])
+    found = got.column("found").combine_chunks()
+    n = len(found)
+    if not n:
         return Model(features, np.where(np.arange(reader.width) < len(reader.names), 4.0, 0.0), -3.0)
+    at = found.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n, dtype=np.int32), found.value_lengths().to_numpy(zero_copy_only=False))
+    known = got.column("toxic").fill_null(-1).to_numpy().astype(np.int64)
+    counts = got.column("weight").to_numpy()
+    posterior, _, _ = label_model(votes(at, row, n, reader, features), known, weights=counts)
+    weights, bias = linear(at, row, reader.width, posterior, counts=counts)
+    return Model(features, weights, bias)
+
+
+def votes(at: np.ndarray, row: np.ndarray, n: int, reader: Reader, features: list[str]) -> np.ndarray:
+    """Rows by voters: whether a mined feature, a word of a language's seed lexicon, or a pattern is in the row."""
     voters = [[reader.number[f]] for f in features[:VOTERS]]
     voters += [[reader.number[w] for w in v.split()] for v in SEEDS.values()] + [[len(reader.names) + i] for i in range(len(PATTERNS))]
-    voter_of: dict[int, list[int]] = {}
+    made = np.zeros((n, len(voters)), bool)
     for j, own in enumerate(voters):
-        for f in own:
-            voter_of.setdefault(f, []).append(j)
-    votes = np.zeros((len(found), len(voters)), bool)
-    for i, own in enumerate(found):
-        for f in own:
-            for j in voter_of.get(f, ()):
-                votes[i, j] = True
-    posterior, _, _ = label_model(votes, known, weights=counts)
-    weights, bias = linear(found, reader.width, posterior, counts=counts)
-    return Model(features, weights, bias)
+        made[row[np.isin(at, own)], j] = True
+    return made
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

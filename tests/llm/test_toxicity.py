@@ -17,10 +17,32 @@ def test_label_model_finds_accuracies_and_copies():
     assert corr[0, 6] > 0.9 and corr[1, 2] < 0.3
 
 
-def test_known_labels_lead():
-    votes = np.zeros((10, 2), bool)
-    p, *_ = tx.label_model(votes, np.array([1] * 5 + [0] * 5))
-    assert (p[:5] > 0.5).all() and (p[5:] < 0.5).all()
+def test_labels_calibrate_voters_and_dont_overrule_them():
+    rng = np.random.default_rng(2)
+    truth = rng.random(3000) < 0.2
+    votes = np.stack([np.where(truth, rng.random(3000) < hit, rng.random(3000) < miss) for hit, miss in ((0.8, 0.05), (0.6, 0.1), (0.1, 0.5))], axis=1)
+    known = np.where(np.arange(3000) < 300, truth, -1).astype(int)
+    p, rates, _ = tx.label_model(votes, known)
+    assert abs(rates[1, 0] - 0.8) < 0.1 and abs(rates[0, 2] - 0.5) < 0.1
+    for way in np.unique(votes, axis=0):  # rows of equal votes have one posterior, whatever their labels
+        assert np.ptp(p[(votes == way).all(axis=1)]) < 1e-9
+    assert ((p > 0.5) == truth).mean() > 0.88
+    shuffled = rng.permuted(votes, axis=0)
+    assert np.abs(tx.label_model(shuffled, known)[0] - p).max() > 0.3
+    assert len(set(tx.label_model(np.zeros((10, 2), bool), np.array([1] * 5 + [0] * 5))[0])) == 1
+
+
+def test_scores_come_from_votes(make, spark, monkeypatch):
+    """With the votes dealt to other rows the classifier learns something else."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{i} plain words" + (" gloop" if i % 3 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    own = tx.train(make(rows), labels)
+    votes = tx.votes
+    monkeypatch.setattr(tx, "votes", lambda *args: rng.permutation(votes(*args)))
+    other = tx.train(make(rows), labels)
+    assert own.score("plain gloop") > 0.8 > other.score("plain gloop") + 0.2
+    assert own.score("plain words") < 0.2
 
 
 def test_held_out_rows(spark):
