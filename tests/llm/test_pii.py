@@ -77,4 +77,71 @@ def test_odd_rows(odd, make):
 
 def test_time_is_linear():
     for text in ("a." * 100_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" * 100_000, "1 " * 100_000, "a@a" * 60_000):
-        pii.loose_spans(text, pii.base_spans(text))
+        pii.places(text, pii.base_spans(text))
+
+
+def planted(words):
+    """(rows, planted spans by doc_id): seeds in contexts, and identifiers of other shapes in the same contexts and in others."""
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, want = [], {}
+    ways = [
+        (3, lambda: "+49 30 " + digits(7), lambda: rng.choice([f"030 {digits(3)} {digits(4)}", f"ext.{digits(4)}", f"T-{digits(5)}x"]), "telephone number {} please"),
+        (0, lambda: f"u{digits(4)}@mail.example.com", lambda: rng.choice([f"u{digits(4)} (at) mail.example.com", f"u{digits(3)}@intranet"]), "write to mailbox {} for help"),
+        (1, lambda: ".".join(str(rng.randint(1, 250)) for _ in range(4)), lambda: f"2001:db8::{digits(4)}", "from host address {} came"),
+        (4, lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20)) + "1a", lambda: rng.choice(["hunter" + digits(2), "correct-horse"]), 'api_key = "{}" was'),
+    ]
+    d = 0
+    for kind, seed, other, context in ways:
+        for n in range(60):
+            unseen = n >= 52
+            value = other() if unseen else seed()
+            head = f"{words(rng.randint(3, 30), d)} "
+            text = f"{head}{context.format(value)} {words(5, d + 900)}"
+            rows.append((d, text))
+            if unseen or kind == 4:
+                want[d] = (kind, text.index(value, len(head)), text.index(value, len(head)) + len(value))
+            d += 1
+    for _ in range(200):  # numbers and codes that nothing vouches for
+        rows.append((d, f"{words(10, d)} {rng.choice(['chapter', 'about', 'of'])} {rng.choice([digits(3), digits(16), 'B-' + digits(4), '1:' + digits(2)])} {words(10, d + 1)}"))
+        d += 1
+    return rows, want
+
+
+def test_identifiers_of_other_shapes_are_found_in_known_contexts(make, words):
+    rows, want = planted(words)
+    got = {r.doc_id: {tuple(s) for s in r.spans} - {tuple(s) for s in r.base} for r in pii.personal_data(make(rows).repartition(3)).collect()}
+    added = {(d, s) for d, own in got.items() for s in own}
+    hit = {(d, s) for d, s in want.items()}
+    assert len(added & hit) >= 0.95 * len(hit), sorted(hit - added)[:5]  # recall
+    assert len(added & hit) >= 0.95 * len(added), sorted(added - hit)[:5]  # precision
+
+
+def test_turns_go_on_until_they_settle(spark):
+    """A chain of patterns, each of which only the instances of the one before vouch for."""
+    rows = [("p0", f"s{i}", 3) for i in range(30)] + [(f"p{n}", f"v{n}-{i}", None) for n in range(6) for i in range(6)]
+    rows += [(f"p{n + 1}", f"v{n}-{i}", None) for n in range(5) for i in range(6)]
+    rows += [(f"p{n}", f"a{n}-{i}", None) for n in range(1, 6) for i in range(1)]
+    edges = spark.createDataFrame(rows, "pattern string, value string, kind int")
+    got = {r.value: r.kind for r in pii.sure_values(edges).collect()}
+    assert not got or set(got.values()) == {3}
+    assert {v for v in got if v.startswith("v0")} == {f"v0-{i}" for i in range(6)}
+    assert len(got) >= len(pii.sure_values(edges, 1).collect())
+
+
+def test_instances_are_known_by_their_exact_text(make, words):
+    rows = [(d, f"{words(4, d)} host address 10.0.0.{d} came") for d in range(30)] + [(99, f"{words(4, 99)} then 1.00.010.0 and 100.0.1x so")]
+    got = {r.doc_id: r for r in pii.personal_data(make(rows)).collect()}
+    assert {tuple(s) for s in got[99].spans} == {tuple(s) for s in got[99].base}
+
+
+def test_words_beside_a_place_are_read_whole(make):
+    long = "w" * 30_000
+    rows = [(d, f"{long} +49 30 123456{d} {long}") for d in range(20)] + [(50, f"{long} 030-{long}7 {long}"), (51, f"{long}x 030-77 {long}y")]
+    got = {r.doc_id: r for r in pii.personal_data(make(rows)).collect()}
+    assert [tuple(s) for s in got[50].spans] == [(3, 30_001, 60_006)] and got[51].spans == []
+
+
+def test_names_of_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc", 5, 6, 7, 8)], "doc_id long, text string, of long, of_key long, key long, seen long")
+    assert [tuple(s) for s in pii.personal_data(docs).first().spans] == [(0, 0, 6)]
