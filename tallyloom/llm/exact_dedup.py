@@ -7,10 +7,21 @@ copied a million times is one digest; each distinct digest asks its bucket's
 filter. Only positives join the snapshot's exact digests; negatives, which are
 surely new, are grouped among themselves alone.
 
+Equal digests are not taken on trust: the texts of digests with several rows are
+compared byte by byte, and a difference stops the job, since it would be a collision
+of SHA-256. A task compares equal digests it meets by itself and passes each on once
+(again only if more than ``HELD_BYTES`` of other texts came between), so of a text
+that a third of all rows hold a task sends one. Up to ``SCREEN_KEYS`` such digests
+are known to every task, which sends no other text; beyond, all texts are sent once.
+
+Buckets are as many as the larger side needs, so a batch against an empty snapshot
+is dealt as a snapshot of its size would be.
+
 Defined results: a null text is empty; all blank texts are equal to it. A null
-doc_id sorts after every other. Rows repeated with the same doc_id and text stay
-separate rows of one group of which exactly one is kept. Empty tables give no
-rows. Other columns are not read.
+doc_id sorts after every other. Of rows with as many code points the one of least
+doc_id stays. Rows repeated with the same doc_id and text stay separate rows of one
+group of which exactly one is kept. Very long texts are read whole. Empty tables
+give no rows. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import BLANKS, documents, written
+from .common import BLANKS, as_binary, documents, text_bytes, written
 
 #: Distinct digests that a bucket, and so a filter and a task's group, holds on average.
 BUCKET_ROWS = 200_000
+#: Leading digest bytes (8 each) of digests with several rows that go to every task, at most, and the texts a task holds for comparison.
+SCREEN_KEYS, HELD_BYTES = 2_000_000, 64 << 20
 #: What orders the members of a group, the least of which stays.
 RANK = ("less", "unnamed", "doc_id")
 
@@ -84,7 +97,7 @@ def screened(batch: DataFrame, snapshot_filters: DataFrame, buckets: int) -> Dat
     def run(part: pa.Table, filter_: pa.Table) -> pa.Table:
         known = filter_.column("filter")[0].as_py() if filter_.num_rows else b""
         maybe = pa.array(fuse.probe(known, _keys(part.column("sha"))))
-        return pa.table([*(pa.array(part.column(c).to_pylist(), part.schema.field(c).type) for c in columns), maybe], names=[*columns, "maybe"])
+        return pa.table([*(part.column(c) for c in columns), maybe], names=[*columns, "maybe"])
 
     asked = (
         flat.groupBy("bucket")
@@ -99,10 +112,10 @@ def merged(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 
     ``snapshot`` and ``batch`` are results of :func:`grouped`.
     """
-    buckets = max(1, -(-snapshot.count() // BUCKET_ROWS))
+    buckets = max(1, -(-max(snapshot.count(), batch.count()) // BUCKET_ROWS))
     asked = written(screened(batch, filters(snapshot, buckets), buckets), "exact-screened")
     positive = asked.filter("maybe").select("sha", "size", F.col("best").alias("new_best"), F.col("members").alias("new_members"))
-    # the byte check: all 32 digest bytes and the length, so a false positive of the filter finds no partner
+    # a false positive of the filter finds no partner; the bytes of those that do are compared in byte_check
     both = snapshot.join(positive, ["sha", "size"], "full_outer")
     met = both.select(
         "sha",
@@ -112,13 +125,55 @@ def merged(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return met.unionByName(asked.filter(~F.col("maybe")).select("sha", "best", "members"))
 
 
+def byte_check(docs: DataFrame, several: DataFrame) -> None:
+    """Compares the texts of ``docs`` whose digests (column sha) several rows have; raises if two with one digest differ."""
+    n = several.count()
+    if not n:
+        return
+    spark = docs.sparkSession
+    few = spark.sparkContext.broadcast(np.sort(_keys(several.toArrow().column("sha"))) if n <= SCREEN_KEYS else None)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, bytes] = {}
+        size = 0
+        for batch in rows:
+            out: list[tuple[bytes, bytes]] = []
+            for text in text_bytes(batch.column("text")):
+                bare = text.translate(None, BLANKS)
+                sha = hashlib.sha256(bare).digest()
+                if few.value is not None:
+                    key = np.frombuffer(sha[8:16], np.uint64)[0]
+                    at = int(np.searchsorted(few.value, key))
+                    if at == len(few.value) or few.value[at] != key:
+                        continue
+                if (own := held.get(sha)) is None:
+                    if size > HELD_BYTES:
+                        held.clear()
+                        size = 0
+                    held[sha] = bare
+                    size += len(bare)
+                    out.append((sha, bare))
+                elif own != bare:
+                    raise ValueError(f"two texts have the digest {sha.hex()}")
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["sha", "bare"])
+
+    sent = as_binary(docs).mapInArrow(run, "sha binary, bare binary")
+    met = sent.join(several.select("sha"), "sha", "left_semi") if few.value is None else sent
+    # a digest has a row for each task at most
+    apart = met.groupBy("sha").agg(F.min("bare").alias("least"), F.max("bare").alias("most")).filter("least != most").select("sha").head(1)
+    if apart:
+        raise ValueError(f"two texts have the digest {apart[0].sha.hex()}")
+
+
 def exact_dedup(docs: DataFrame, in_snapshot: F.Column) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``.
 
     ``in_snapshot`` tells which rows the snapshot holds; the others are the new batch.
     """
     rows = written(digests(docs), "exact-digests").withColumn("old", F.coalesce(in_snapshot, F.lit(False)))
-    groups = merged(written(grouped(rows.filter("old")), "exact-snapshot"), grouped(rows.filter(~F.col("old"))))
+    groups = merged(written(grouped(rows.filter("old")), "exact-snapshot"), written(grouped(rows.filter(~F.col("old"))), "exact-batch"))
+    groups = written(groups, "exact-groups")
+    byte_check(docs, groups.filter("members > 1").select("sha"))
     # rows alike in all columns are told apart by their number; a text's copies meet a single row here, which a skewed join splits
     alike = rows.groupBy("sha", "n_chars", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     is_best = alike.doc_id.eqNullSafe(F.col("best.doc_id")) & (alike.n_chars == -F.col("best.less"))

@@ -51,3 +51,35 @@ def test_screening_by_several_filters(make, words, monkeypatch):
     rows = [(i, words(5, i % 60)) for i in range(200)]
     got = exact_dedup.exact_dedup(make(rows), F.col("doc_id") < 70).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.kept) for r in got) == sorted(brute(rows))
+
+
+@pytest.mark.parametrize(("name", "value"), [("SCREEN_KEYS", 0), ("HELD_BYTES", 10), ("BUCKET_ROWS", 3)])
+def test_limits_change_nothing(make, words, monkeypatch, name, value):
+    monkeypatch.setattr(exact_dedup, name, value)
+    rows = [(i, words(5, i % 20)) for i in range(60)]
+    got = exact_dedup.exact_dedup(make(rows), F.lit(False)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.kept) for r in got) == sorted(brute(rows))
+
+
+def test_texts_of_one_digest_are_compared_byte_by_byte(make, spark):
+    """With a digest that tells nothing apart all texts meet, and those that differ are noticed."""
+
+    class Poor:
+        def __init__(self, data):
+            self.data = data
+
+        def digest(self):
+            return b"\0" * 32
+
+    class Module:
+        sha256 = Poor
+
+    run = exact_dedup.byte_check
+    several = spark.createDataFrame([(bytearray(32),)], "sha binary")
+    own = {**run.__globals__, "hashlib": Module}
+    poor = type(run)(run.__code__, own, run.__name__, run.__defaults__, run.__closure__)
+    poor(make([(1, "a b"), (2, "ab"), (3, " ab ")]).repartition(3), several)
+    with pytest.raises(Exception, match="digest"):
+        poor(make([(1, "a b"), (2, "ab"), (3, "abc")]).repartition(3), several)
+    with pytest.raises(Exception, match="digest"):
+        poor(make([(1, "a b"), (2, "abc")]).coalesce(1), several)
