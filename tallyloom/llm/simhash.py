@@ -14,14 +14,15 @@ keep every link.
 Defined results: null and blank texts have fingerprint zero, which links like any
 other. Rows repeated with one doc_id are one row each, in the same component. A
 null doc_id gets a fingerprint and its component's id; it never is that id unless
-all of its component's are null. Empty tables give no rows. Other columns are not
-read.
+all of its component's are null. Equal fingerprints are linked by being equal. Very
+long texts are read whole. Empty tables give no rows. Other columns are not read,
+whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_binary, documents, mixed, text_bytes, written
+from .common import as_binary, documents, free, mixed, text_bytes, written
 from .components import components, forest
 
 BITS = 3
@@ -139,7 +140,7 @@ def _compared(rows: Iterator[pa.RecordBatch], finer: bool) -> Iterator[pa.Record
 
     held_k = held_f = np.zeros(0, np.uint64)
     crowded = None
-    for batch in [*_in_parts(rows), None]:
+    for batch in chain(_in_parts(rows), [None]):
         if batch is not None:
             keys = np.concatenate([held_k, batch[0]])
             fps = np.concatenate([held_f, batch[1]])
@@ -237,24 +238,27 @@ def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
     is_least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     by_id = written(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(is_least).alias("stays")).filter("stays"), "simhash-least")
     if not by_id.filter("rows > 1 OR doc_id IS NULL").head(1):
-        least = by_id.select(F.col("doc_id").alias("__of")).hint("shuffle_hash")
-        return docs.join(least, F.col("doc_id") == F.col("__of"), "left_semi")
+        of = free(docs, "of")
+        least = by_id.select(F.col("doc_id").alias(of)).hint("shuffle_hash")
+        return docs.join(least, docs["doc_id"] == F.col(of), "left_semi")
     # rows share a doc_id: tell them apart by fingerprint, then by text
-    own = groups.select(F.col("fp").alias("__fp2"), F.col("root").alias("__root"), F.col("component_id").alias("__component")).distinct()
-    met = _with_fingerprints(docs, width).join(own, F.col("__fp") == F.col("__fp2")).filter(F.col("doc_id").eqNullSafe(F.col("__component")))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    fp = free(docs, "fp")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = _with_fingerprints(docs, width, fp).select(whole, F.col(f"`{fp}`").alias("own_fp"))
+    own = groups.select("fp", "root", "component_id").distinct()
+    met = packed.join(own, F.col("own_fp") == F.col("fp")).filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     # combined before the shuffle, so however many rows a component has, a task sends one
-    first = met.groupBy("__root").agg(F.min_by(whole, F.struct(F.col("text").isNotNull().alias("a"), F.col("text").alias("b"))).alias("__row"))
-    return first.select("__row.*")
+    order = F.struct(F.col("row.text").isNotNull().alias("a"), F.col("row.text").alias("b"))
+    return met.groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
-def _with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+def _with_fingerprints(docs: DataFrame, width: int, name: str) -> DataFrame:
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             fps = [majority(shingle_hashes(t, width)) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

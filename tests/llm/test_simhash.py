@@ -152,3 +152,12 @@ def test_adjacent_crowds_come_out_whole_at_all_batch_sizes(monkeypatch, size):
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(fps[i : i + size])], names=["key", "fp"]) for i in range(0, len(keys), size)]
     out = [(u, v) for b in simhash._compared(iter(batches), True) for u, v, crowd in zip(*(c.to_pylist() for c in b.columns), strict=True) if crowd]
     assert sorted(out) == [(k, f) for k, f in zip(keys.tolist(), fps.tolist(), strict=True) if k != 3]
+
+
+def test_names_of_columns(spark, words):
+    fields = "doc_id long, text string, of int, __of int, fp int, root int, component_id int, row int, own_fp int"
+    rows = [(1, words(40, 1), *range(7)), (2, words(40, 1), *range(7)), (3, words(40, 2), *range(7))]
+    assert sorted(map(tuple, simhash.representatives(spark.createDataFrame(rows, fields)).collect())) == [rows[0], rows[2]]
+    twice = [*rows, (1, words(40, 1) + " x", *range(7))]
+    got = sorted(map(tuple, simhash.representatives(spark.createDataFrame(twice, fields)).collect()))
+    assert len(got) in (2, 3) and rows[2] in got
