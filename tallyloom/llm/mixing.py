@@ -17,8 +17,9 @@ the driver; beyond, they run on the cell table in Spark, a written table a round
 
 Defined results: null source, language or topic is a value of its own. Blank texts
 count one token; null texts are blank. A draw depends on doc_id alone, so repeated
-rows are kept or dropped together; rows of null doc_id share one draw. Empty
-tables give no rows. The operator keeps all columns.
+rows are kept or dropped together; rows of null doc_id share one draw. A draw that
+equals the probability drops the row. Very long texts are read whole. Empty tables
+give no rows. The operator keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ TEMPER = 0.5
 CELLS = 200_000
 DIMENSIONS = ("source", "lang", "topic")
 
-#: A topic by form, where the table has none.
+#: A topic by form; a topic that the table may have is not read.
 TOPIC_SQL = """CASE WHEN length(trim(text)) = 0 THEN 'blank'
      WHEN length(text) - length(replace(text, '|', '')) >= 5 THEN 'table'
      WHEN length(text) - length(replace(text, '!!', '')) >= 10 THEN 'loud'
@@ -160,27 +161,32 @@ def cell_weights(docs: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS,
     return spark.createDataFrame(made, "__source string, __lang string, __topic string, f double"), True
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as one, ``row``, beside the operator's own, so that no two share a name."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return celled(docs.select(row, *[F.col(c).alias(c) for c in ("doc_id", "text", "source", "lang")])).drop("text", "source", "lang")
+
+
 def mixed(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, most: int = CELLS, capped: bool = False) -> DataFrame:
-    """``docs`` with __p (probability), __weight and __kept; ``capped``: fitted under the cap, with weights of one."""
-    split = celled(docs)
-    weights, few = cell_weights(split, temper, rounds, most, keep if capped else None)
+    """row (the columns of ``docs``), __topic, __p (probability), __weight and __kept; ``capped``: fitted under the cap, with weights of one."""
+    weights, few = cell_weights(celled(docs.select("text", "source", "lang")), temper, rounds, most, keep if capped else None)
     names = [f"__{d}" for d in DIMENSIONS]
-    met = split.join(F.broadcast(weights) if few else weights, names)
+    met = _packed(docs).join(F.broadcast(weights) if few else weights, names)
     wanted = F.col("f") * keep
     p = F.least(wanted, F.lit(1.0))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return met.withColumns({"__p": p, "__weight": F.lit(1.0) if capped else wanted / p, "__kept": draw < p}).drop("f", "__tokens")
+    return met.select("row", "__topic", p.alias("__p"), (F.lit(1.0) if capped else wanted / p).alias("__weight"), (draw < p).alias("__kept"))
 
 
 def sampled(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
     """The rows that are kept, with the columns of ``docs``. They have no weights, so the fit is made under the cap."""
-    return mixed(docs, keep, temper, rounds, capped=True).filter("__kept").select(*[f"`{c}`" for c in docs.columns])
+    return mixed(docs, keep, temper, rounds, capped=True).filter("__kept").select("row.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic, probability, weight and draw of every document."""
     found = mixed(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return found.select("doc_id", F.col("__topic").alias("topic"), F.round("__p", 6).alias("p"), F.round("__weight", 6).alias("weight"), F.col("__kept").alias("kept"))
+    return found.select("row.doc_id", F.col("__topic").alias("topic"), F.round("__p", 6).alias("p"), F.round("__weight", 6).alias("weight"), F.col("__kept").alias("kept"))
 
 
 def _oracle() -> str:

@@ -23,14 +23,14 @@ def docs(make, words):
 
 def test_rare_values_weigh_more_and_weights_undo_the_cap(docs):
     got = mixing.mixed(docs).collect()
-    by = lambda s: [r["__p"] for r in got if r.source == s]
+    by = lambda s: [r["__p"] for r in got if r.row.source == s]
     assert np.mean(by("big")) < np.mean(by("mid")) < np.mean(by("small"))
     assert all(0 < r["__p"] <= 1 and r["__weight"] >= 1 - 1e-9 for r in got)
 
 
 def test_the_same_in_spark(docs):
-    few = {r.doc_id: (r["__p"], r["__kept"]) for r in mixing.mixed(docs).collect()}
-    many = {r.doc_id: (r["__p"], r["__kept"]) for r in mixing.mixed(docs, most=0).collect()}
+    few = {r.row.doc_id: (r["__p"], r["__kept"]) for r in mixing.mixed(docs).collect()}
+    many = {r.row.doc_id: (r["__p"], r["__kept"]) for r in mixing.mixed(docs, most=0).collect()}
     assert few.keys() == many.keys()
     assert all(abs(few[d][0] - many[d][0]) < 1e-9 and few[d][1] == many[d][1] for d in few)
 
@@ -46,9 +46,9 @@ def test_odd_rows(odd, make):
     docs, rows = odd
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
-    twos = {(r["__p"], r["__kept"]) for r in got if r.doc_id == 2}
+    twos = {(r["__p"], r["__kept"]) for r in got if r.row.doc_id == 2}
     assert len(twos) == 1
-    assert {r["__topic"] for r in got if not (r.text or "").strip(" ")} == {"blank"}
+    assert {r["__topic"] for r in got if not (r.row.text or "").strip(" ")} == {"blank"}
     assert mixing.sampled(make([])).count() == 0
 
 
@@ -67,7 +67,18 @@ def test_the_sample_itself_meets_the_targets(rare):
 
 
 def test_probabilities_under_the_cap_meet_attainable_targets(rare):
-    few = {r.doc_id: r["__p"] for r in mixing.mixed(rare, capped=True).collect()}
-    many = {r.doc_id: r["__p"] for r in mixing.mixed(rare, most=0, capped=True).collect()}
+    few = {r.row.doc_id: r["__p"] for r in mixing.mixed(rare, capped=True).collect()}
+    many = {r.row.doc_id: r["__p"] for r in mixing.mixed(rare, most=0, capped=True).collect()}
     assert max(few.values()) <= 1 and abs(sum(few.values()) - 1000) < 2
     assert few.keys() == many.keys() and all(abs(few[d] - many[d]) < 1e-6 for d in few)
+
+
+def test_names_of_columns(spark):
+    fields = "doc_id long, text string, source string, lang string, f int, __p int, __weight int, __kept int, __source int, __topic int, __tokens int, topic int, row int"
+    rows = [(i, "a few words", f"s{i % 2}", "en", *range(9)) for i in range(40)]
+    docs = spark.createDataFrame(rows, fields)
+    for capped in (True, False):
+        got = mixing.mixed(docs, capped=capped)
+        assert sorted(tuple(r.row) for r in got.collect()) == rows
+    kept = mixing.sampled(docs)
+    assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(rows)
