@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tabulate import quoted
@@ -13,13 +13,11 @@ from ..plans.tabulate import quoted
 def hmerge(left: DataFrame, right: DataFrame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, sets: tuple[str, ...] = (), merge_existing: bool | list[str] = False, columns: list[str] | None = None) -> DataFrame:
     """Left rows with the right's columns.
 
-    The right side is reduced to the left's keys first. Columns of both sides take
-    the right's value where there is one; set columns stay as they are unless they
+    Columns of both sides take the right's value where there is one; set columns stay as they are unless they
     are to be merged, and are united then. Right keys that repeat multiply rows.
     """
     lk, rk = left_on or on, right_on or on
     wanted = [c for c in (columns or right.columns) if c != rk and not (c == lk and lk != rk)]
-    right = right.join(left.select(quoted(lk).alias("__k")).distinct(), quoted(rk) == F.col("__k"), "left_semi")
     right = right.select(quoted(rk).alias("__rk"), F.lit(True).alias("__hit"), *[quoted(c).alias(f"__r_{c}") for c in wanted])
     met = left.join(right, quoted(lk).eqNullSafe(F.col("__rk")) & quoted(lk).isNotNull(), "left")
 
@@ -75,10 +73,17 @@ def duplicates(df: DataFrame, name: str = "identity") -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, key: str = "identity", keep: str = "first", sort_by: str | list[str] | None = None) -> DataFrame:
-    """One row for each key: the first or the last in the order given (of all columns, if none is)."""
-    names = [sort_by] if isinstance(sort_by, str) else sort_by or [c for c in df.columns if c != key]
-    order = [quoted(c).asc() if keep == "first" else quoted(c).desc() for c in names]
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(quoted(key)).orderBy(*order))).filter("__nth = 1").drop("__nth")
+    """One row for each key: the first or the last in the order given (of all columns, if none is).
+
+    Combined before the shuffle, so a key sends a row for each task. Of ties the row
+    of least (first) or greatest (last) other columns stays.
+    """
+    names = [sort_by] if isinstance(sort_by, str) else sort_by or []
+    # structs order nulls first, as ascending sorts do
+    order = F.struct(*[quoted(c) for c in dict.fromkeys([*names, *(c for c in df.columns if c != key)])])
+    whole = F.struct(*[quoted(c) for c in df.columns])
+    pick = F.min_by if keep == "first" else F.max_by
+    return df.groupBy(quoted(key).alias("__key")).agg(pick(whole, order).alias("__row")).select("__row.*")
 
 
 def unique_key(df: DataFrame, key: str, multiplier: int) -> DataFrame:

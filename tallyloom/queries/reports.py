@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -175,16 +174,14 @@ def io_parquet(spark, sf):
 
 @query("io_spss", f"WITH {GRID} SELECT pkey, g_1, g_2, g_3, half FROM grid")
 def io_spss(spark, sf):
-    """Written as an SPSS system file, and read back."""
-    with tempfile.TemporaryDirectory() as where:
-        path = os.path.join(where, "grid.sav")
-        spss.write_spss(grid(spark, sf), path)
-        with open(path, "rb") as f:
-            raw = f.read()
-    d = spss.read_dictionary(raw)
-    places = [[v.name for v in d.variables].index(n) for n in ("pkey", "g_1", "g_2", "g_3", "half")]
-    rows = [tuple(None if r[p] is None else int(r[p]) for p in places) for r in spss.read_records(raw, d)]
-    return spark.createDataFrame(rows, "pkey long, g_1 int, g_2 int, g_3 int, half int")
+    """Written as an SPSS system file, and read back by the reader."""
+    where = _folder(spark)
+    path = where.removeprefix("file://")
+    if "://" in path:
+        raise ValueError("SPSS files are written to local folders alone")
+    os.makedirs(path)
+    spss.write_spss(grid(spark, sf), f"{path}/grid.sav")
+    return spss.read_spss(spark, f"{where}/grid.sav").df.select(F.col("pkey").cast("long"), *[F.col(c).cast("int") for c in ("g_1", "g_2", "g_3", "half")])
 
 
 @query("ad_audit", "SELECT 'cats' AS report, 'seg' AS name UNION ALL SELECT 'labels', 'rf'")

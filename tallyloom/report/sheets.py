@@ -200,10 +200,15 @@ def write_html(path: str, chains: ChainManager | Iterable[Chain], decimals: int
         f.write(f'<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>{tables}</body></html>')
 
 
-def frame_to_html(rows: DataFrame, path: str, most: int = 10_000) -> None:
-    """The first rows of a DataFrame as a page."""
+def frame_to_html(rows: DataFrame, path: str) -> None:
+    """All rows of a DataFrame as a page, written as they arrive; a partition's rows are held at a time."""
+    cells = lambda values, tag: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>\n"
     with open(path, "w", encoding="utf-8") as f:
-        f.write(rows.limit(most).toPandas().to_html(index=False))
+        f.write('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><table>\n')
+        f.write(cells(rows.columns, "th"))
+        for row in rows.toLocalIterator():
+            f.write(cells(row, "td"))
+        f.write("</table></body></html>")
 
 
 # -------------------------------------------------------------------------- slides

@@ -24,9 +24,11 @@ def session(app: str = "tallyloom", **more: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder all executors see; a temporary one only where the session names none."""
+    """URI of the folder all executors see; a temporary one only in local mode, where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
