@@ -411,6 +411,10 @@ class Meta:
         for n, text in texts.items():
             self._set_text(self.columns[self.grids[name].items[n - 1]], text, text_key, axis)
 
+    def extend_text_keys(self, more: Iterable[str]) -> None:
+        """Text keys that may be used besides those that are known."""
+        self.languages += [k for k in dict.fromkeys(more) if k not in self.languages]
+
     def used_text_keys(self) -> list[str]:
         return sorted({k for t, e in self._all_texts() for k in [*t, *(x for d in e.values() for x in d)]})
 

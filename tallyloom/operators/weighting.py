@@ -36,6 +36,7 @@ class Scheme:
     cap: float | tuple[float, float] | None = None
     total: float = 0.0
     most_rounds: int = 1000
+    fills: dict[str | None, str] = field(default_factory=dict)
 
     def targets(self, targets: dict | list[dict], group: str = "all", where=None) -> Scheme:
         made = [targets] if isinstance(targets, dict) else targets
@@ -43,6 +44,13 @@ class Scheme:
         self.check(self.groups[-1])
         return self
 
+    def impute(self, method: str, variable: str | None = None) -> Scheme:
+        """Rows without a code of a target (of any that isn't named) are raked as if they had the mean, rounded, or the mode."""
+        if method not in ("mean", "mode"):
+            raise ValueError("missing codes are filled by mean or mode")
+        self.fills[variable] = method
+        return self
+
     def shares(self, shares: dict[str, float]) -> Scheme:
         """Below 2 in all they are parts of one, else percent."""
         scale = 100.0 if sum(shares.values()) > 2 else 1.0
@@ -100,7 +108,13 @@ def weights(survey, scheme: Scheme, name: str = "weight") -> tuple[DataFrame, di
         group = F.coalesce(*[F.when(survey.condition(g.where), F.lit(g.name)) for g in scheme.groups])
     variables = sorted({v for g in scheme.groups for t in g.targets for v in t})
     df = df.withColumn("__g", group)
-    found = df.filter("__g IS NOT NULL").groupBy("__g", *[quoted(v).alias(v) for v in variables]).agg(F.count(F.lit(1)).alias("n")).limit(MOST_CELLS + 1).collect()
+    code = {v: quoted(v) for v in variables}
+    if scheme.fills:
+        asked = {v: scheme.fills.get(v, scheme.fills.get(None)) for v in variables}
+        whole = {v: (F.round(F.avg(quoted(v))) if how == "mean" else F.mode(quoted(v), True)).cast(df.schema[v].dataType) for v, how in asked.items() if how}
+        got = df.agg(*[c.alias(v) for v, c in whole.items()]).first() if whole else {}
+        code |= {v: F.coalesce(quoted(v), F.lit(got[v])) for v in whole}
+    found = df.filter("__g IS NOT NULL").groupBy("__g", *[c.alias(v) for v, c in code.items()]).agg(F.count(F.lit(1)).alias("n")).limit(MOST_CELLS + 1).collect()
     if len(found) > MOST_CELLS:
         raise ValueError(f"the targets have over {MOST_CELLS} cells")
     rows, rounds, sizes, sums = [], {}, {}, {}
@@ -133,7 +147,7 @@ def weights(survey, scheme: Scheme, name: str = "weight") -> tuple[DataFrame, di
     table = survey.spark.createDataFrame([tuple(r) for r in rows], schema)
     on = F.col("__g") == F.col("__h")
     for i, v in enumerate(variables):
-        on = on & quoted(v).eqNullSafe(F.col(f"__v{i}"))
+        on = on & code[v].eqNullSafe(F.col(f"__v{i}"))
     # as many rows as cells, which were counted above
     met = df.join(F.broadcast(table) if len(rows) < 100_000 else table, on, "left")
     return met.withColumn(name, F.col("__w")).drop("__g", "__h", "__w", *[f"__v{i}" for i in range(len(variables))]), rounds

@@ -81,3 +81,16 @@ def visible_tests(result: DataFrame, hidden: list) -> DataFrame:
     gone = F.array(*[F.lit(str(c)) for c in hidden])
     kept = F.array_except(F.split("value", ","), gone)
     return dropped(result, hidden, "y").withColumn("value", F.array_join(kept, ",")).filter("value != ''")
+
+
+def shown(survey, x: str, y: str | None = None, axis: str | None = None) -> dict[str, dict]:
+    """The rules that the metadata hold for x and y."""
+    if axis not in (None, "x", "y"):
+        raise ValueError("the axis is x or y")
+    return {a: dict(survey.meta[n].rules.get(a, {})) if n and n != TOTAL else {} for a, n in (("x", x), ("y", y)) if axis in (None, a)}
+
+
+def slicers(survey, result: DataFrame, x: str, y: str | None = None, value: str = "w") -> dict[str, list[str]]:
+    """The codes of either axis in the order that the rules give; as many as codes."""
+    made = applied(survey, result, x, y, value=value)
+    return {a: [r[0] for r in made.select(f"{a}_code", f"{a}_pos").distinct().orderBy(f"{a}_pos").collect()] for a in ("x", "y")}

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logic as lg
 from ..meta import SET, Meta
-from ..plans.tabulate import quoted
-from ..session import local_frame
+from ..operators import weighting
+from ..plans import rules
+from ..plans.tabulate import ALL, quoted
+from ..report.stack import Stack
+from ..session import local_frame, shared_dir
+from ..sources.spss import write_spss
 from ..survey import Survey
 from .data import GRID, LINES, ORDERS, USERS, grid, lines, orders, users
 
@@ -335,3 +342,65 @@ def md_take(spark, sf):
     """A filtered survey, filtered once more."""
     s = users(spark, sf).filter("buyers", {"acts": lg.has_any([3])})
     return s.df.filter(s.take({"n": lg.is_gt(5)})).select("user_id", "n")
+
+
+# ------------------------------------------------------------- rules, stacks, weights
+
+
+@query("md_new_text_key", codes_sql(LINES, "lines", "ls", "(1, 1, 'fini'), (2, 2, 'ouvert')"))
+def md_new_text_key(spark, sf):
+    """Labels of a language that the metadata didn't know before."""
+    s = lines(spark, sf)
+    s.meta.extend_text_keys(["fr-BE-x"])
+    s.meta.set_value_texts("ls", {1: "fini", 2: "ouvert"}, text_key="fr-BE-x")
+    return counted(s, "ls", "fr-BE-x")
+
+
+@query("rl_slicers", f"WITH {LINES}, c AS (SELECT seg, count(*) AS n FROM lines WHERE seg IS NOT NULL AND seg <> 2 GROUP BY 1) SELECT 'x' AS axis, CAST(row_number() OVER (ORDER BY n DESC, seg) AS INT) AS pos, CAST(seg AS VARCHAR) AS code FROM c")
+def rl_slicers(spark, sf):
+    """The order that rules give to codes, one of which they hide."""
+    s = lines(spark, sf)
+    s.meta.sort_rule("seg")
+    s.meta.hide("seg", [2], "x")
+    told = rules.shown(s, "seg", axis="x")["x"]
+    found = rules.slicers(s, s.crosstab("seg"), "seg") if set(told) == {"sortx", "dropx"} else {}
+    return local_frame(spark, [("x", i, c) for i, c in enumerate((c for c in found["x"] if c != ALL), 1)], "axis string, pos int, code string")
+
+
+@query("bt_from_spss", f"WITH {GRID} SELECT CAST(half AS VARCHAR) AS x_code, CAST(count(*) AS DOUBLE) AS value FROM grid GROUP BY 1")
+def bt_from_spss(spark, sf):
+    """A stack of a survey that an SPSS file holds."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    os.makedirs(path.removeprefix("file://"))
+    write_spss(grid(spark, sf), f"{path.removeprefix('file://')}/grid.sav")
+    made = Stack.from_spss(spark, "parts", f"{path}/grid.sav")
+    made.add_link("parts", x=["half"], y=["@"], views=["counts"])
+    return made.results.filter("x_var = 'half' AND view LIKE '%counts'").select("x_code", "value")
+
+
+@query("bt_survey_of_stack", f"WITH {LINES} SELECT rf, count(*) AS n FROM lines WHERE ls = 1 GROUP BY 1")
+def bt_survey_of_stack(spark, sf):
+    """A stack's survey under one of its filters."""
+    made = Stack(spark, "s", {"lines": lines(spark, sf)})
+    made.add_link("lines", filters=[{"done": {"ls": [1]}}], x=["rf"], y=["@"])
+    return made.survey("lines", "done").df.groupBy("rf").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bt_merge_link", f"WITH {LINES} SELECT CAST(rf AS VARCHAR) AS x_code, CAST(count(*) AS DOUBLE) AS value FROM lines GROUP BY 1")
+def bt_merge_link(spark, sf):
+    """One stack takes over a link's views from another."""
+    a, b = (Stack(spark, n, {"lines": lines(spark, sf)}) for n in "ab")
+    for s, views in ((a, ["cbase"]), (b, ["cbase", "counts"])):
+        s.add_link("lines", x=["rf"], y=["@"], views=views)
+    a.merge_link(b, "lines", "no_filter", "rf", "@")
+    return a.results.filter("view LIKE '%counts'").select("x_code", "value")
+
+
+@query("wt_impute", f"""WITH {LINES}, md AS (SELECT seg AS mode FROM lines WHERE seg IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+f AS (SELECT coalesce(seg, mode) AS seg FROM lines, md), n AS (SELECT seg, count(*) AS n FROM f GROUP BY 1), t AS (SELECT sum(n) AS t FROM n)
+SELECT seg, round(CASE seg WHEN 1 THEN 0.4 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 ELSE 0.1 END * t / n, 6) AS weight FROM n, t""")
+def wt_impute(spark, sf):
+    """Weights to one target; rows without a code count as the most frequent one."""
+    s = lines(spark, sf)
+    s.weight(weighting.Scheme("one").targets({"seg": {1: 40.0, 2: 30.0, 3: 20.0, 4: 10.0}}).impute("mode"), "rim")
+    return s.df.filter("seg IS NOT NULL").groupBy("seg").agg(F.round(F.avg("rim"), 6).alias("weight"))

@@ -21,6 +21,7 @@ from ..meta import CATEGORICAL, NUMERIC, SET, Meta
 from ..plans import rules, sigtests, tabulate
 from ..plans.tabulate import ALL, TOTAL, Net, nets_of, share
 from ..session import stored
+from ..sources.spss import read_spss
 from ..survey import Survey
 from .batch import Batch, _listed, batches, get_batch
 from .views import COUNT_VIEWS, PRESETS, STAT_TEXTS, View, ViewMapper, factor_condition, nets_condition, preset_key
@@ -62,6 +63,26 @@ class Stack:
             self.links = {at: own for at, own in self.links.items() if at[0] != k}
         self.reduce(data_keys=keys)
 
+    @classmethod
+    def from_spss(cls, spark, key: str, path: str, name: str = "") -> Stack:
+        """A stack of one survey, read from an SPSS file."""
+        return cls(spark, name or key, {key: read_spss(spark, path)})
+
+    def survey(self, key: str | None = None, filter: str = NO_FILTER) -> Survey:
+        """A survey of the stack, under one of its filters."""
+        if key is None and len(self.surveys) > 1:
+            raise ValueError("the stack has several surveys; name one")
+        key = next(iter(self.surveys)) if key is None else key
+        own = self.surveys[key]
+        return own.clone() if filter == NO_FILTER else own.filter(filter, self.links[key, filter]["where"])
+
+    def merge_link(self, other: Stack, key: str, filter: str, x: str, y: str, views=None, overwrite: bool = False) -> None:
+        """Takes over another stack's views of one link; those that are here stay unless ``overwrite``."""
+        at = (F.col("dataset") == key) & (F.col("filter") == filter) & (F.col("x_var") == x) & (F.col("y_var") == y)
+        new = other.results.filter(at if views is None else at & F.col("view").isin(_listed(views)))
+        here = self.results.filter(at).select("view").distinct()
+        self._add([new if overwrite else new.join(here, "view", "left_anti")])
+
     def variable_types(self, key: str, only: str | None = None) -> dict[str, list[str]]:
         return self.surveys[key].meta.by_type(only)
 
