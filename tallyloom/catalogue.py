@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import edits, reports, rows, tables
+from .queries import books, edits, reports, rows, tables
 
-QUERIES: dict = {**tables.QUERIES, **rows.QUERIES, **reports.QUERIES, **edits.QUERIES}
-ORACLES: dict = {**tables.ORACLES, **rows.ORACLES, **reports.ORACLES, **edits.ORACLES}
+QUERIES: dict = {**tables.QUERIES, **rows.QUERIES, **reports.QUERIES, **edits.QUERIES, **books.QUERIES}
+ORACLES: dict = {**tables.ORACLES, **rows.ORACLES, **reports.ORACLES, **edits.ORACLES, **books.ORACLES}
