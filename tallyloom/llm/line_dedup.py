@@ -11,8 +11,9 @@ every document.
 
 Defined results: a null text has no lines and stays empty; a null site is no site.
 A line repeated within a document counts once for its spread and is removed at
-every place. Rows repeated give a row each. Null doc_ids work like any id. Empty
-tables give no rows. Other columns are not read.
+every place. Rows repeated give a row each. Null doc_ids work like any id. A line at
+just the threshold is removed. Very long texts are read whole. Empty tables give no
+rows. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -40,10 +41,15 @@ def _key(line: F.Column) -> F.Column:
     return F.when(line != "", F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")))
 
 
+def _text_key() -> F.Column:
+    """With the doc_id, what a row is known by: rows of no id, or of one, don't meet in one group."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def widespread(docs: DataFrame, site: str, sites: int = SITES) -> tuple[DataFrame, DataFrame]:
-    """(h1, h2 of the lines of at least ``sites`` sites; and doc_id, site, h1, h2 of all documents' distinct lines)."""
+    """(h1, h2 of the lines of at least ``sites`` sites; and doc_id, key, site, h1, h2 of all documents' distinct lines)."""
     keys = F.array_compact(F.array_distinct(_line_keys(F.coalesce("text", F.lit("")))))
-    held = docs.select("doc_id", F.col(site).cast("string").alias("site"), F.explode(keys).alias("k")).select("doc_id", "site", "k.*")
+    held = docs.select("doc_id", _text_key().alias("key"), F.col(site).cast("string").alias("site"), F.explode(keys).alias("k")).select("doc_id", "key", "site", "k.*")
     held = written(held, "line-hashes")
     spread = held.filter("site IS NOT NULL").groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("about"))
     slack = max(1.0, sites * ERROR)
@@ -56,8 +62,9 @@ def widespread(docs: DataFrame, site: str, sites: int = SITES) -> tuple[DataFram
 def line_dedup(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """doc_id, n_lines, n_removed and kept (the text of the lines that stay) of every row."""
     lines, held = widespread(docs, site, sites)
-    by_doc = held.select("doc_id", "h1", "h2").join(lines, ["h1", "h2"]).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("h1", "h2")).alias("bad"))
-    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    by_doc = held.select("doc_id", "key", "h1", "h2").join(lines, ["h1", "h2"]).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set(F.struct("h1", "h2")).alias("bad"))
+    texts = docs.select("doc_id", _text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     all_lines = F.split("text", "\n")
     stays = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), _key(F.trim(x, F.lit(_ENDS)))), F.lit(False)))
     met = met.withColumn("stay", F.when(F.col("bad").isNull(), all_lines).otherwise(stays))
