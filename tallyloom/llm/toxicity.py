@@ -59,6 +59,8 @@ VOTERS = 400
 #: Weight of all unlabelled rows in the label model, by that of the labelled ones, at most; and what its correlations shrink by.
 UNLABELLED_SHARE, SHRINK = 0.3, 0.1
 THRESHOLD = 0.3
+#: Rows of the sample whose texts and features are Python objects at once.
+SLICE_ROWS = 500
 
 SEEDS = {
     "en": "idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb imbecile retard bastard bitch asshole jerk filth vermin hate kill die ugly fool",
@@ -131,7 +133,7 @@ def sample(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_near_key(t) for t in batch.column("text").to_pylist()]
+            keys = [_near_key(t) for at in range(0, batch.num_rows, SLICE_ROWS) for t in batch.column("text").slice(at, SLICE_ROWS).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "toxic", "weight", "near"])
 
     # of near copies the one of least doc_id, then text, and stored: every read of the sample sees the same rows
@@ -144,8 +146,8 @@ def mined(rows: DataFrame) -> list[str]:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
                 every, toxic = Counter(), Counter()
                 for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                     found = text_features(text)
@@ -278,8 +280,10 @@ def train(docs: DataFrame, labels: DataFrame | None) -> Model:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [reader.read(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int32())), batch.column("toxic"), batch.column("weight")], names=["doc_id", "found", "toxic", "weight"])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = [reader.read(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.list_(pa.int32())), part.column("toxic"), part.column("weight")], names=["doc_id", "found", "toxic", "weight"])
 
     # the sample's rows are bounded by its size, not by the corpus; they come as flat arrays
     got = rows.select("doc_id", "text", "toxic", "weight").mapInArrow(read, "doc_id long, found array<int>, toxic int, weight double").toArrow().sort_by([("doc_id", "ascending"), ("weight", "ascending")])
