@@ -61,6 +61,8 @@ VOCABULARY = "byte_bpe_50k.json"
 FRAME_IDS = 1 << 16
 #: Rows of a batch whose texts are Python strings at once.
 SLICE_ROWS = 250
+#: Cuts of texts whose ids an encoder remembers.
+WORDS = 1_000_000
 #: Ids and documents at which a file is closed.
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 #: Characters of a text that tell ranges of one doc_id apart.
@@ -176,7 +178,7 @@ class Encoder:
     string of an added token goes through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -245,11 +247,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end_id: int = END_ID, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end_id: int = END_ID, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS, words: int = WORDS) -> DataFrame:
     """Writes the ids of every text and of the end id after it to files in folder ``where`` (a URI all executors share).
 
     Returns the manifest, a row for each file: path, part and nth (files in ascending
-    doc_id order), n_docs, n_tokens, n_bytes.
+    doc_id order), n_docs, n_tokens, n_bytes. words: cuts that an encoder remembers.
     """
     vocabulary = vocabulary or vocabulary_path()
     spark = docs.sparkSession
@@ -258,6 +260,7 @@ def write_tokens(docs: DataFrame, where: str, vocabulary: str | None = None, end
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
+        encoder.limit = words
         store, folder = pafs.FileSystem.from_uri(where)
         out = writer = part = None
         done: list[dict] = []

@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
@@ -108,6 +109,27 @@ def test_stages_one_by_one(spark, sf):
     assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows]])[:-1].tolist()
 
 
+def test_python_workers_get_small_batches(make, spark, sf):
+    """Texts of 32 MB are dealt out in batches of about BATCH_BYTES by each stage; run leaves the session as it was."""
+    docs = make([(i, f"{i} " + "word " * 1600) for i in range(4000)]).coalesce(1)
+
+    def sizes(rows):
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for _, stage in corpus_pipeline.STAGES:
+        try:
+            stage(spark, docs.limit(20), sf)
+            got = [r.n for r in docs.select("doc_id", "text").mapInArrow(sizes, "n long").collect()]
+        finally:
+            spark.conf.set(name, before)
+        assert max(got) < 2 * corpus_pipeline.BATCH_BYTES and sum(got) > 30 << 20
+    corpus_pipeline.run(spark, sf)
+    assert spark.conf.get(name) == before
+
+
 def test_registered(spark):
     made = __spark_entry__.queries()
     assert "pipeline" in made and [len(n) > 0 for n, _ in corpus_pipeline.STAGES] == [True] * 5

@@ -52,6 +52,13 @@ def test_files_closed_by_size(make, words, tmp_path, library, file_ids, file_doc
         assert max(r.n_docs for r in manifest.collect()) == 2
 
 
+def test_an_encoder_that_remembers_little(make, words, tmp_path, library):
+    rows = [(i, words(40, i)) for i in range(60)]
+    where = f"file://{tmp_path}/t"
+    got = [tuple(r) for r in tf.digests(tf.write_tokens(make(rows), where, words=50), where).collect()]
+    assert sorted(got, key=lambda r: r[1]) == brute(rows, library)
+
+
 def seekable(raw):
     """The data of a file in the public seekable format, by its definition alone."""
     assert raw[-4:] == (0x8F92EAB1).to_bytes(4, "little") and raw[-5] == 0x80
