@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import t_p_value
-from .tabulate import ALL, TOTAL, Net, axis, cells, collapsed, fused_stats
+from .tabulate import ALL, TOTAL, Net, axis, cells, collapsed, exploded, fused_stats
 
 P_LEVELS = {"low": 0.10, "mid": 0.05, "high": 0.01}
 T_LEVELS = {"low": 1.65, "mid": 1.96, "high": 2.576}
@@ -29,7 +29,7 @@ def overlaps(survey, x: str, y: str, weight: str | None = None, where=None) -> D
     met = collapsed(survey, xa, ya, weight, where)
     m = F.size("__x") if weight not in (None, "@1") else F.lit(1)
     pairs = F.flatten(F.transform("__y", lambda a: F.transform(F.filter("__y", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    flat = met.select("w", "w2", "n", m.alias("m"), F.explode(pairs).alias("p"))
+    flat = exploded(met, "p", pairs, "w", "w2", "n", m.alias("m"), empty=True)
     if weight in (None, "@1"):
         ov = F.sum("n").cast("double")
     else:  # the squared sum of the shared rows' sums over the sum of their squares

@@ -55,6 +55,8 @@ class Axis:
     factors: dict[int, float] = field(default_factory=dict)
     #: codes of the levels of a nest, by code
     levels: dict[int, tuple[int, ...]] = field(default_factory=dict)
+    #: codes left out; a variable's axes have equal raw columns if these are equal
+    gone: frozenset[int] = frozenset()
 
     @property
     def array(self) -> Column:
@@ -98,7 +100,7 @@ def axis(survey, name: str, exclude: Iterable[int] = (), stats: bool = False) ->
     answered = F.coalesce(F.exists(column, lambda c: c.isin(codes)) if own.type == SET else column.isin(codes), F.lit(False))
     key = survey.meta.text_key
     texts = {v.code: v.text.get(key) or next(iter(v.text.values()), "") for v in kept}
-    return Axis(name, codes, texts, [column], build, valid, answered, own.type == SET, {v.code: float(v.code if v.factor is None else v.factor) for v in kept})
+    return Axis(name, codes, texts, [column], build, valid, answered, own.type == SET, {v.code: float(v.code if v.factor is None else v.factor) for v in kept}, gone=frozenset(gone))
 
 
 def _product(left: Column, left_codes: list[int], right: Column, right_codes: list[int]) -> Column:
@@ -187,6 +189,16 @@ def collapsed(survey, xa: Axis, ya: Axis | None, weight: str | None, where=None,
     return met.withColumns(arrays).withColumns({"__xs": F.concat(margin, "__x"), "__ys": F.concat(margin, "__y")})
 
 
+def exploded(rows: DataFrame, name: str, array: Column | str, *more: Column | str, empty: bool = False) -> DataFrame:
+    """Of collapsed rows a row for each element. ``empty``: arrays can be, and elements are never null.
+
+    With a plain explode the optimizer tests that the array isn't empty, and as that
+    depends on the answers alone, it does so below the aggregation, for every respondent.
+    """
+    made = rows.select(F.explode_outer(array).alias(name), *more)
+    return made.filter(F.col(name).isNotNull()) if empty else made
+
+
 def cells(survey, x: str, y: str | None = None, weight: str | None = None, where=None, base_all: bool = False, nets: list[Net] | None = None, complete: bool = False, exclude: Iterable[int] = (), limit: Iterable[int] | None = None, keep=None) -> DataFrame:
     """The long result of one link.
 
@@ -214,7 +226,8 @@ def cells(survey, x: str, y: str | None = None, weight: str | None = None, where
         hits = [F.when(F.col(f"__net{i}") if n.logic is not None else F.arrays_overlap(codes, F.array(*map(F.lit, n.codes)).cast("array<int>")), F.lit(f"net:{n.name}")) for i, n in enumerate(nets)]
         texts = F.concat(texts, F.array_compact(F.array(*hits)))
         shown = _net_order(nets, xa.codes, complete)
-    met = met.withColumns({"x_code": F.explode(F.concat(F.array(F.lit(ALL)), texts))}).withColumn("y_raw", F.explode("__ys"))
+    met = exploded(met, "x_code", F.concat(F.array(F.lit(ALL)), texts), "__ys", "n", "w", "w2")
+    met = exploded(met, "y_raw", "__ys", "x_code", "n", "w", "w2")
     y_code = F.when(F.col("y_raw") == _MARGIN, F.lit(TOTAL)).otherwise(F.col("y_raw").cast("string"))
     sums = met.groupBy("x_code", y_code.alias("y_code")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"))
     all_cells = frame(survey, [(x, ALL, 0), *((x, c, i) for c, i in shown)], [(y or TOTAL, TOTAL, 0), *(((y, c, i) for c, i in _codes_of(ya)) if ya else ())])
@@ -340,16 +353,22 @@ def score_of(survey, x: str, factors: dict[int, float] | None = None, exclude: I
         value = survey.column(x).cast("double")
         return value.isNotNull() & (~value.isin(gone) if gone else F.lit(True)), value, value * value, F.lit(1)
     xa = axis(survey, x, exclude, stats=True)
+    score, squares, mentions = _code_scores(xa, xa.array, factors, drop)
+    return xa.valid & (mentions > 0), score, squares, mentions
+
+
+def _code_scores(xa: Axis, array: Column, factors: dict[int, float] | None, drop: bool) -> tuple[Column, Column, Column]:
+    """Of an array of codes the sum of their factors, that of the squares, and how many have one."""
     by = {**({} if drop and factors else xa.factors), **(factors or {})}
     by = {c: f for c, f in by.items() if c in set(xa.codes)}
     if not by:
-        raise ValueError(f"no code of {x!r} has a factor")
+        raise ValueError(f"no code of {xa.name!r} has a factor")
     pairs = F.create_map(*[F.lit(v) for c, f in by.items() for v in (c, float(f))])
-    held = F.filter(xa.array, lambda c: c.isin(list(by)))
+    held = F.filter(array, lambda c: c.isin(list(by)))
     zero = F.lit(0.0)
     score = F.aggregate(held, zero, lambda a, c: a + pairs[c])
     squares = F.aggregate(held, zero, lambda a, c: a + pairs[c] * pairs[c])
-    return xa.valid & (F.size(held) > 0), score, squares, F.size(held)
+    return score, squares, F.size(held)
 
 
 def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: dict[int, float] | None, exclude: Iterable[int], drop: bool, order: str | None) -> tuple[DataFrame, Axis | None]:
@@ -364,7 +383,7 @@ def _scored(survey, x: str, y: str | None, weight: str | None, where, factors: d
     picked = rows.select(score.alias("s"), squares.alias("q"), mentions.alias("m"), w.alias("w"), ys.alias("ys"), (survey.column(order) if order else F.lit(0)).alias("o")).filter("w IS NOT NULL")
     # equal answers collapse before the explode; the least in order stands for the first of them
     met = picked.groupBy("s", "q", "m", "ys").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "w")).alias("first"))
-    return met.withColumn("y", F.explode("ys")), ya
+    return met.withColumn("y", F.explode_outer("ys")), ya  # the margin is always there; see exploded
 
 
 def _from_moments() -> dict[str, Column]:
@@ -452,7 +471,7 @@ def grid_cells(survey, grid: str, weight: str | None = None, where=None, exclude
     items = [F.struct(F.lit(i).alias("item"), _as_array(survey.column(i), own.type, codes).alias("codes")) for i in own.items]
     rows = survey.filtered(where).select(weight_of(survey, weight).alias("w"), F.explode(F.array(*items)).alias("i")).select("w", "i.*").filter((F.size("codes") > 0) & F.col("w").isNotNull())
     met = rows.groupBy("item", "codes").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    met = met.select("item", "n", "w", "w2", F.explode(F.concat(F.array(F.lit(ALL)), F.transform("codes", lambda c: c.cast("string")))).alias("x_code"))
+    met = exploded(met, "x_code", F.concat(F.array(F.lit(ALL)), F.transform("codes", lambda c: c.cast("string"))), "item", "n", "w", "w2")
     sums = met.groupBy("x_code", F.col("item").alias("y_code")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"))
     all_cells = frame(survey, [(grid, ALL, 0), *((grid, str(c), i + 1) for i, c in enumerate(codes))], [(grid, i, n + 1) for n, i in enumerate(own.items)])
     return filled(all_cells, sums)
@@ -470,7 +489,7 @@ def level_cells(survey, grid: str, y: str | None = None, weight: str | None = No
         rows = rows.filter(ya.valid & ya.answered)
     rows = rows.select(weight_of(survey, weight).alias("w"), mentions.alias("x"), ys.alias("ys")).filter("w IS NOT NULL")
     met = rows.groupBy("x", "ys").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    met = met.select("n", "w", "w2", "ys", F.explode("x").alias("c")).select("n", "w", "w2", "c", F.explode("ys").alias("y"))
+    met = exploded(exploded(met, "c", "x", "ys", "n", "w", "w2", empty=True), "y", "ys", "c", "n", "w", "w2")
     each = F.explode(F.array(F.lit(ALL), F.col("c").cast("string")))
     y_code = F.when(F.col("y") == _MARGIN, F.lit(TOTAL)).otherwise(F.col("y").cast("string"))
     sums = met.select("n", "w", "w2", y_code.alias("y_code"), each.alias("x_code")).groupBy("x_code", "y_code").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("w2").alias("w2"))
@@ -529,8 +548,8 @@ def fused(survey, xs: list[str], ys: list[str], weights: list[str | None] = (Non
     for i, a in enumerate(xa):
         hits = [F.when(F.col(f"__net{i}_{k}") if net.logic is not None else F.arrays_overlap(array(a), F.array(*map(F.lit, net.codes)).cast("array<int>")), F.lit(_NET - k)) for k, net in enumerate(nets.get(a.name, ()))]
         x_pairs.append(_pairs(array(a), i, hits))
-    met = met.select(F.explode(F.concat(*x_pairs)).alias("x"), _all_pairs([array(a) for a in ya]).alias("y"), *sums)
-    met = met.select(F.col("x.v").alias("xv"), F.col("x.c").alias("xc"), F.explode("y").alias("y"), *sums)
+    met = met.select(F.concat(*x_pairs).alias("x"), _all_pairs([array(a) for a in ya]).alias("y"), *sums)
+    met = exploded(exploded(met, "x", "x", "y", *sums, empty=True), "y", "y", F.col("x.v").alias("xv"), F.col("x.c").alias("xc"), *sums)
     cube = met.groupBy("xv", "xc", F.col("y.v").alias("yv"), F.col("y.c").alias("yc")).agg(*[F.sum(k).alias(k) for k in sums])
     rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), F.col(f"n{i}").cast("long").alias("n"), F.col(f"s{i}").alias("w"), F.col(f"q{i}").alias("w2")) for i, w in enumerate(weights)])
     flat = cube.select("xv", "xc", "yv", "yc", F.explode(rows).alias("r")).select("xv", "xc", "yv", "yc", "r.*")
@@ -550,36 +569,80 @@ def _y_frame(ya: list[Axis]) -> list[tuple]:
     return made
 
 
+_MOMENTS = "array<struct<base:double,b2:double,ws:double,wq:double,min:double,max:double>>"
 MOMENT_STATS = ("mean", "var", "stddev", "sem", "varcoeff", "min", "max")
 
 
 def fused_stats(survey, specs: list[dict], ys: list[str], weights: list[str | None] = (None,), where=None) -> DataFrame:
-    """Statistics of many x by all y for several weights from one scan and one shuffle.
+    """Statistics of many x by all y for several weights from one scan.
 
-    A spec has x and, as wanted, factors, exclude, drop, source (the variable whose
-    scores count, on the rows where x has an answer). Result: spec (its number),
-    x_var, y_var, y_code, y_pos, weight, base, b2 (squared weights) and MOMENT_STATS.
+    Rows collapse by their raw answers, as in :func:`fused`, before scores are made of
+    them and before they are exploded. A spec has x and, as wanted, factors, exclude,
+    drop, source (the variable whose scores count, on the rows where x has an answer).
+    Result: spec (its number), x_var, y_var, y_code, y_pos, weight, base, b2 (squared
+    weights) and MOMENT_STATS.
     """
     ya = [axis(survey, y) for y in ys]
-    scores = []
-    for i, spec in enumerate(specs):
-        takes_part, score, squares, mentions = score_of(survey, spec.get("source") or spec["x"], spec.get("factors"), spec.get("exclude", ()), spec.get("drop", False))
-        if spec.get("source"):
-            takes_part = takes_part & _answered(survey, spec["x"])
-        scores.append(F.when(takes_part, F.struct(F.lit(i).alias("spec"), score.cast("double").alias("s"), squares.cast("double").alias("q"), mentions.cast("int").alias("m"))))
     n = range(len(weights))
-    picked = survey.filtered(where).select(F.array_compact(F.array(*scores)).alias("x"), _all_pairs([a.array for a in ya]).alias("y"), *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
-    names = [f"w{i}" for i in n]
-    met = picked.select(F.explode("x").alias("x"), "y", *names).select("x", F.explode("y").alias("y"), *names)
+    keys: dict[str, Column] = {}
+    named: dict[tuple[str, frozenset[int]], list[str]] = {}  # axis -> its key columns; equal axes have them once
+    answers = 1.0
+
+    def array(a: Axis) -> Column:
+        nonlocal answers
+        if (at := (a.name, a.gone)) not in named:
+            named[at] = [f"__k{len(named)}_{j}" for j in range(len(a.keys))]
+            keys.update(zip(named[at], a.keys, strict=True))
+            answers *= a.combinations
+        return a.build([F.col(k) for k in named[at]])
+
+    y_pairs = _all_pairs([array(a) for a in ya])
+    values: dict[str, Column] = {}
+    # of rows of equal answers (or of one row): sums, least and greatest
+    sums = {f"{k}{i}": f(F.col(f"w{i}")) for i in n for k, f in (("s", lambda c: c), ("q", lambda c: c * c))}
+    ends: dict[str, Column] = {}
+    scores = []
+    for j, spec in enumerate(specs):
+        x, source = spec["x"], spec.get("source") or spec["x"]
+        answered = F.lit(True)
+        if x != source and survey.meta[x].type in NUMERIC:
+            keys[f"__a{j}"], answered = _answered(survey, x), F.col(f"__a{j}")
+            answers *= 2
+        elif x != source:
+            answered = F.size(array(axis(survey, x))) > 0
+        if survey.meta[source].type in NUMERIC:  # of too many values to be kept apart: the moments are summed
+            held, value, _, _ = score_of(survey, source, None, spec.get("exclude", ()))
+            values[f"v{j}"] = F.when(held, value)
+            v = F.col(f"v{j}")
+            for i in n:
+                w = F.when(v.isNotNull(), F.col(f"w{i}"))
+                sums |= {f"base{j}_{i}": w, f"b2{j}_{i}": w * w, f"ws{j}_{i}": w * v, f"wq{j}_{i}": w * (v * v)}
+                ends[f"{j}_{i}"] = F.when(w.isNotNull(), v)
+            moments = F.array(*[F.struct(*[F.col(f"{k}{j}_{i}").alias(k) for k in ("base", "b2", "ws", "wq", "min", "max")]) for i in n])
+            scores.append(F.when(answered, F.struct(F.lit(j).alias("spec"), *[F.lit(None).cast(t).alias(k) for k, t in (("s", "double"), ("q", "double"), ("m", "int"))], moments.alias("p"))))
+        else:
+            xa = axis(survey, source, spec.get("exclude", ()), stats=True)
+            score, squares, mentions = _code_scores(xa, array(xa), spec.get("factors"), spec.get("drop", False))
+            scores.append(F.when(answered & (mentions > 0), F.struct(F.lit(j).alias("spec"), score.alias("s"), squares.alias("q"), mentions.alias("m"), F.lit(None).cast(_MOMENTS).alias("p"))))
+    picked = survey.filtered(where).select(*[c.alias(k) for k, c in {**keys, **values}.items()], *[weight_of(survey, w).alias(f"w{i}") for i, w in enumerate(weights)])
+    if answers <= MOST_ANSWERS:
+        met = picked.groupBy(*keys).agg(*[F.sum(c).alias(k) for k, c in sums.items()], *[f(c).alias(f"{k}{at}") for at, c in ends.items() for k, f in (("min", F.min), ("max", F.max))])
+    else:
+        met = picked.select(*keys, *[c.alias(k) for k, c in sums.items()], *[c.alias(f"{k}{at}") for at, c in ends.items() for k in ("min", "max")])
+    names = [f"{k}{i}" for i in n for k in "sq"]
+    met = met.select(F.array_compact(F.array(*scores)).alias("x"), y_pairs.alias("y"), *names)
+    met = exploded(exploded(met, "x", "x", "y", *names, empty=True), "y", "y", "x", *names)
     asked = []
     for i in n:
-        w = F.col(f"w{i}")
-        parts = {"base": F.sum(w), "b2": F.sum(w * w), "ws": F.sum(w * F.col("x.s")), "wq": F.sum(w * F.col("x.q")), "wm": F.sum(w * F.col("x.m")), "min": F.min(F.when(w.isNotNull(), F.col("x.s"))), "max": F.max(F.when(w.isNotNull(), F.col("x.s")))}
-        asked += [c.alias(f"{k}_{i}") for k, c in parts.items()]
-    sums = met.groupBy(F.col("x.spec").alias("spec"), F.col("y.v").alias("yv"), F.col("y.c").alias("yc")).agg(*asked)
-    keys = ("base", "b2", "ws", "wq", "wm", "min", "max")
-    rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), *[F.col(f"{k}_{i}").alias(k) for k in keys]) for i, w in enumerate(weights)])
-    flat = sums.select("spec", "yv", "yc", F.explode(rows).alias("r")).select("spec", "yv", "yc", "r.*").withColumns(_from_moments())
+        w, score, own = F.col(f"s{i}"), F.col("x.s"), F.col("x.p")[i]
+        end = F.when(w.isNotNull(), score)
+        # a number is one mention
+        parts = {"base": (w, own["base"]), "b2": (F.col(f"q{i}"), own["b2"]), "ws": (w * score, own["ws"]), "wq": (w * F.col("x.q"), own["wq"]), "wm": (w * F.col("x.m"), own["base"]), "min": (end, own["min"]), "max": (end, own["max"])}
+        asked += [{"min": F.min, "max": F.max}.get(k, F.sum)(F.when(F.col("x.p").isNull(), of_codes).otherwise(of_number)).alias(f"{k}_{i}") for k, (of_codes, of_number) in parts.items()]
+    cube = met.groupBy(F.col("x.spec").alias("spec"), F.col("y.v").alias("yv"), F.col("y.c").alias("yc")).agg(*asked)
+    names = ("base", "b2", "ws", "wq", "wm", "min", "max")
+    rows = F.array(*[F.struct(F.lit(w or "").alias("weight"), *[F.col(f"{k}_{i}").alias(k) for k in names]) for i, w in enumerate(weights)])
+    flat = cube.select("spec", "yv", "yc", F.explode(rows).alias("r")).select("spec", "yv", "yc", "r.*").withColumns(_from_moments())
     frame_rows = [(i, spec["x"], *q, w or "") for i, spec in enumerate(specs) for q in _y_frame(ya) for w in weights]
     all_cells = local_frame(survey.spark, frame_rows, "spec int, x_var string, yv int, yc int, y_var string, y_code string, y_pos int, weight string")
     met = all_cells.join(F.broadcast(flat) if len(frame_rows) <= MOST_CELLS else flat, ["spec", "yv", "yc", "weight"], "left")

@@ -148,6 +148,62 @@ def test_statistics(small, w):
                 assert math.isclose(got[y][name], percentile(own, p), abs_tol=1e-9), (y, name)
 
 
+SPECS = [
+    {"x": "a"},
+    {"x": "b", "exclude": [2]},
+    {"x": "s", "factors": {1: 10.0, 3: -2.0}, "drop": True},
+    {"x": "n"},
+    {"x": "n", "exclude": [0]},
+    {"x": "s", "source": "n"},
+    {"x": "n", "source": "s"},
+]
+
+
+def scored(row, spec):
+    """The factors of a row's codes, or its number; none if it doesn't take part."""
+    source = spec.get("source", spec["x"])
+    if source != spec["x"] and not (codes(row, spec["x"]) if spec["x"] in CODES else row[AT[spec["x"]]] is not None):
+        return []
+    if source not in CODES:
+        v = row[AT[source]]
+        return [] if v is None or v in spec.get("exclude", ()) else [v]
+    own = codes(row, source)
+    if set(own) & set(spec.get("exclude", ())):
+        return []
+    by = {**({} if spec.get("drop") else {c: float(c) for c in CODES[source]}), **spec.get("factors", {})}
+    return [by[c] for c in own if c in by]
+
+
+@pytest.mark.parametrize("limit", [tabulate.MOST_ANSWERS, 0])
+def test_fused_statistics(small, limit, monkeypatch):
+    """Whether rows collapse or not."""
+    monkeypatch.setattr(tabulate, "MOST_ANSWERS", limit)
+    s, rows = small
+    got = {(r.spec, r.y_var, r.y_code, r.weight): r for r in tabulate.fused_stats(s, SPECS, ["b", "s"], [None, "w"]).collect()}
+    assert len(got) == len(SPECS) * 9 * 2
+    for (i, y, c, w), r in got.items():
+        heads = lambda row, y=y, c=c: y == "@" or bool(codes(row, y)) and c in ("@", *map(str, codes(row, y)))
+        own = [(f, weight(row, w or None)) for row in rows if (f := scored(row, SPECS[i])) and heads(row) and weight(row, w or None) is not None]
+        total = sum(q for _, q in own)
+        same({"base": r["base"], "b2": r["b2"]}, {"base": total, "b2": sum(q * q for _, q in own)})
+        if not own:
+            assert all(r[k] is None for k in tabulate.MOMENT_STATS)
+            continue
+        mean = sum(sum(f) * q for f, q in own) / total
+        same({k: r[k] for k in ("mean", "min", "max")}, {"mean": mean, "min": min(sum(f) for f, _ in own), "max": max(sum(f) for f, _ in own)})
+        if not math.isclose(total, 1):
+            var = sum(q * (v - mean) ** 2 for f, q in own for v in f) / (total - 1)
+            assert math.isclose(r["var"] or 0, var if var > 1e-12 else 0, abs_tol=1e-9), (i, y, c, w)
+
+
+def test_arrays_are_made_of_collapsed_rows(spark):
+    """No array is made, nor asked for its size, of each respondent: the optimizer must leave such tests above the aggregation."""
+    s = survey_of(spark, rows_of(5, 20))
+    for made in (tabulate.fused(s, ["a", "s"], ["b", "s"], [None, "w"]), tabulate.fused_stats(s, [{"x": "a"}, {"x": "s"}], ["b", "s"], [None, "w"]), tabulate.cells(s, "a", "b", "w")):
+        below = made._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate [")[2].split("\n", 1)[1]
+        assert "lambda" not in below and "size(" not in below and "Generate" not in below, below
+
+
 LOGICS = {
     "any": (lg.has_any([1, 3]), lambda v: bool({1, 3} & set(v or []))),
     "any only": (lg.has_any([1, 3], True), lambda v: bool({1, 3} & set(v or [])) and not set(v) - {1, 3}),
